@@ -9,8 +9,8 @@ Scale: the first two levels move 24-byte keys with map-side combining, so one te
 a third of the rows costs one row per task.  Texts cross the network once, and only those of
 surviving groups.  Nothing is collected.
 
-Defined cases: a null text counts as empty; empty texts are equal to each other; rows with the
-same id are all reported; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text counts as empty; empty texts are equal to each other; a row that is
+repeated as it is, id included, is reported as often, and counts in its group; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,5 +62,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def with_digest(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds the SHA-256 of each row's normalised text."""
-    digests = docs.select(id_col, F.sha2(normalized(F.col(text_col)), 256).alias("text_sha256"))
+    digest = F.sha2(normalized(F.col(text_col)), 256)
+    digests = docs.select(id_col, digest.alias("d")).groupBy(id_col).agg(F.min("d").alias("text_sha256"))
     return groups.join(digests, id_col)
