@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import exact_dedup
-from lodestar.llm.common import table
+from lodestar.llm import exact_dedup, token_counts, token_files
+from lodestar.llm.common import scratch_path, table
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +28,24 @@ SELECT doc_id,
 FROM n
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are written as flat files closed by <|endoftext|>, which no text encodes to."""
+    end_id, path = 49407, scratch_path(spark, "flat")
+    token_counts.write_flat(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id)
+    places = token_counts.scan(token_counts.read_flat(spark, path), end_id)
+    return token_counts.document_order(spark, path).join(places, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.crc_rows(token_files.roundtrip(docs, tokenizer_path(), 2, scratch_path(spark, "token-files")))
+
+
+QUERIES = {"op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
 SQL = {"op5_exact_dedup": OP5_SQL}
