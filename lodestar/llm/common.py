@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -54,3 +55,12 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], s
 
 def as_array(values) -> pa.Array:
     return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
+
+
+#: Largest table, in rows of one 8-byte id, that is sent to every executor.
+BROADCAST_IDS = 4_000_000
+
+
+def ids_if_small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (materialized, one id column), marked for broadcast only if its count is bounded."""
+    return F.broadcast(ids) if ids.count() <= limit else ids

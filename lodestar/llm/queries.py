@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import exact_dedup, token_counts, token_files
+from lodestar.llm import exact_dedup, substring_dedup, token_counts, token_files
 from lodestar.llm.common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.with_digest(docs, exact_dedup.exact_groups(docs))
@@ -47,5 +53,26 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.crc_rows(token_files.roundtrip(docs, tokenizer_path(), 2, scratch_path(spark, "token-files")))
 
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
-SQL = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM w WHERE len(words) >= 50
+), hashed AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 49], ' ')) AS h FROM starts
+), gone AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY h) AS first_id FROM hashed) WHERE first_id < doc_id
+), places AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM gone
+), kept AS (
+  SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS body, count(*) AS n
+  FROM places p ANTI JOIN covered c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id
+)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}

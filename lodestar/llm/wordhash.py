@@ -163,19 +163,40 @@ def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, which:
     return mix(((prefix[end] - prefix[begin]) * down[at]) ^ mix((end - begin).astype(U64)))
 
 
-def whole_windows(first: np.ndarray, width: int, n_words: int) -> np.ndarray:
-    """True for each window start whose ``width`` words lie in one text."""
-    n = n_words - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=bool)
-    ok = np.ones(n, dtype=bool)
-    for f in (first[1:-1], ):
-        pass
-    inner = first[1:-1]
-    if len(inner):
-        # starts in (boundary - width, boundary) cross that boundary
-        delta = np.zeros(n + width + 1, dtype=np.int32)
-        np.add.at(delta, np.maximum(inner - width + 1, 0), 1)
-        np.add.at(delta, np.minimum(inner, n + width), -1)
-        ok = np.cumsum(delta[:n]) == 0
-    return ok
+def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all ``width``-word windows that lie in one text, and the index of that text."""
+    per_text = np.maximum(np.diff(first) - width + 1, 0)
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    done = np.cumsum(per_text) - per_text
+    return np.arange(len(text)) + (first[:-1] - done)[text], text
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Smallest of every ``width`` consecutive values, by doubling."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of each text's kept words joined by one space, and the bounds of the texts."""
+    n_texts = len(words.first) - 1
+    if not len(words.starts):
+        return np.empty(0, np.uint8), np.zeros(n_texts + 1, np.int64)
+    kept = np.flatnonzero(keep)
+    text = np.searchsorted(words.first, kept, side="right") - 1
+    follows = np.zeros(len(kept), bool)  # another kept word of the same text follows
+    follows[:-1] = text[1:] == text[:-1]
+    size = words.ends[kept] - words.starts[kept] + follows
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.starts[kept]] += 1
+    stop = words.ends[kept] + follows
+    np.subtract.at(edge, stop, 1)
+    data = words.data.copy()
+    data[words.ends[kept[follows]]] = 0x20
+    out = data[np.cumsum(edge[:-1]) > 0]
+    per_text = np.bincount(text, weights=size, minlength=n_texts).astype(np.int64)
+    return out, np.concatenate([[0], np.cumsum(per_text)])
