@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import exact_dedup, substring_dedup, token_counts, token_files
+from lodestar.llm import decontaminate, exact_dedup, substring_dedup, token_counts, token_files
 from lodestar.llm.common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = decontaminate.items_digest(F.col("items")).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.with_digest(docs, exact_dedup.exact_groups(docs))
@@ -53,7 +59,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.crc_rows(token_files.roundtrip(docs, tokenizer_path(), 2, scratch_path(spark, "token-files")))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -75,4 +81,29 @@ SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT item_id, least(13, len(words)) AS size, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS pos, words FROM b WHERE len(words) > 0
+), keys AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[pos:pos + size - 1], ' ') AS body FROM windows
+), sizes AS (SELECT DISTINCT size FROM keys),
+starts AS (
+  SELECT doc_id, size, unnest(range(1, len(words) - size + 2)) AS pos, words FROM d, sizes WHERE len(words) >= size
+), found AS (
+  SELECT s.doc_id, s.pos, s.size, k.item_id
+  FROM (SELECT doc_id, pos, size, array_to_string(words[pos:pos + size - 1], ' ') AS body FROM starts) s JOIN keys k ON s.size = k.size AND s.body = k.body
+), hits AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS i FROM found) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+SQL = {"op3_decontamination": OP3_SQL, "op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}

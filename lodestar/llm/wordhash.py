@@ -200,3 +200,22 @@ def joined(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = data[np.cumsum(edge[:-1]) > 0]
     per_text = np.bincount(text, weights=size, minlength=n_texts).astype(np.int64)
     return out, np.concatenate([[0], np.cumsum(per_text)])
+
+
+class HashIndex:
+    """Finds the few values that are in a fixed sorted list among many."""
+
+    def __init__(self, sorted_hashes: np.ndarray):
+        self.hashes = sorted_hashes
+        self.bits = min(24, max(10, int(len(sorted_hashes) * 16).bit_length()))
+        self.filter = np.zeros(1 << self.bits, bool)
+        self.filter[(sorted_hashes >> U64(64 - self.bits)).astype(np.int64)] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``values`` that are listed, and their places in the list."""
+        if not len(self.hashes) or not len(values):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        maybe = np.flatnonzero(self.filter[(values >> U64(64 - self.bits)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, values[maybe]), len(self.hashes) - 1)
+        true = self.hashes[at] == values[maybe]
+        return maybe[true], at[true]
