@@ -41,6 +41,8 @@ MAX_BITS = 16
 MARK_EVERY = 128
 BLOCK_BYTES = 1 << 20
 DOCS_PER_SHARD = 20_000
+#: Ids coded by one vectorised step.
+STEP_IDS = 400_000
 
 IDS_SCHEMA = "doc_id long, n_tokens int, ids binary"
 CODED_SCHEMA = "shard int, doc_id long, n_tokens int, marks binary, payload binary"
@@ -81,6 +83,15 @@ def flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), dtype), (offsets - offsets[0]) // size
 
 
+def row_ranges(bounds: np.ndarray, limit: int = STEP_IDS) -> Iterator[tuple[int, int]]:
+    """Consecutive rows with about ``limit`` values, at least one row each."""
+    lo, n = 0, len(bounds) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, side="right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def id_counts(tokens: DataFrame) -> DataFrame:
     """(token_id, n) over all documents; each task sends one row per distinct id."""
 
@@ -221,13 +232,15 @@ def write_token_files(tokens: DataFrame, path: str, docs_per_shard: int = DOCS_P
     def coded(batches: Batches) -> Batches:
         own = Code(*held.value)
         for batch in batches:
-            ids, cut = flat(batch.column(2), "<u4")
-            data, at, marks, mark_at = own.encode(ids, cut)
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.searchsorted(bounds, doc_ids, side="left").astype(np.int32)), batch.column(0), batch.column(1), binary_rows(marks.view(np.uint8), mark_at * 2), binary_rows(data, at)],
-                names=["shard", "doc_id", "n_tokens", "marks", "payload"],
-            )
+            all_ids, bound = flat(batch.column(2), "<u4")
+            for lo, hi in row_ranges(bound):
+                data, at, marks, mark_at = own.encode(all_ids[bound[lo] : bound[hi]], bound[lo : hi + 1] - bound[lo])
+                doc_ids = batch.column(0).slice(lo, hi - lo)
+                shard = np.searchsorted(bounds, doc_ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard), doc_ids, batch.column(1).slice(lo, hi - lo), binary_rows(marks.view(np.uint8), mark_at * 2), binary_rows(data, at)],
+                    names=["shard", "doc_id", "n_tokens", "marks", "payload"],
+                )
 
     def packed(batches: Batches) -> Batches:
         number, held_rows, held_bytes = 0, [], 0
