@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, exact_dedup, substring_dedup, suffix_tree, token_counts, token_files
+from lodestar.llm import decontaminate, exact_dedup, language_id, substring_dedup, suffix_tree, token_counts, token_files
 from lodestar.llm.common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,7 +64,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(docs, block=F.col("part"))
 
 
-QUERIES = {"op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
