@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, exact_dedup, language_id, substring_dedup, suffix_tree, token_counts, token_files
+from lodestar.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, substring_dedup, suffix_tree, token_counts, token_files
 from lodestar.llm.common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,7 +68,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+#: Sources weigh the same, English half of all tokens, and lengths stand in for topics.
+MARGINS = ["source", "lang", "topic"]
+TARGETS = {"source": None, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": {"short": 0.1, "medium": 0.3, "long": 0.4, "book": 0.2}}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MARGINS, TARGETS).withColumn("prob", F.round("prob", 6))
+
+
+QUERIES = {"op4_license_scan": op4_license_scan, "op9_mixing": op9_mixing, "op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -115,4 +128,4 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op3_decontamination": OP3_SQL, "op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+SQL = {"op4_license_scan": license_scan.oracle_sql(), "op9_mixing": mixing.oracle_sql(MARGINS, TARGETS), "op3_decontamination": OP3_SQL, "op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
