@@ -75,23 +75,49 @@ def run_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(run, n): how often each context with its next symbol occurs in ``docs(text)``."""
 
     def run(batches: Batches) -> Batches:
-        keys, counts = np.empty(0, U64), np.empty(0, np.int64)
+        sums = Sums()
+        rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["run", "n"])
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                k, n = np.unique(symbols(data, offsets, depth)[0], return_counts=True)
-                keys, counts = merged(keys, counts, k, n)
-                if len(keys) > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["run", "n"])
-                    keys, counts = np.empty(0, U64), np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["run", "n"])
+                sums.add(*np.unique(symbols(data, offsets, depth)[0], return_counts=True))
+                if sums.full():
+                    yield rows(*sums.take())
+        yield rows(*sums.take())
 
     return docs.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def merged(k1: np.ndarray, n1: np.ndarray, k2: np.ndarray, n2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of counts of two key lists."""
-    keys, back = np.unique(np.concatenate([k1, k2]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([n1, n2]), minlength=len(keys)).astype(np.int64)
+class Sums:
+    """Counts by key, merged now and then; ``full`` asks to be emptied, which keeps memory bounded."""
+
+    def __init__(self, merge_at: int = 2_000_000, limit: int = 4_000_000):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.merge_at, self.limit = 0, merge_at, limit
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.merge_at and len(self.parts) > 1:
+            self.parts = [self._merged()]
+            self.size = len(self.parts[0][0])
+            self.merge_at = max(self.merge_at, 2 * self.size)
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([k for k, _ in self.parts]) if self.parts else np.empty(0, U64)
+        counts = np.concatenate([n for _, n in self.parts]) if self.parts else np.empty(0, np.int64)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        return keys[first], np.add.reduceat(counts, first).astype(np.int64) if len(first) else np.empty(0, np.int64)
+
+    def full(self) -> bool:
+        return self.size > self.limit
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out, self.parts, self.size = self._merged(), [], 0
+        return out
 
 
 @dataclass
@@ -175,10 +201,10 @@ def block_words(docs: DataFrame) -> DataFrame:
     """(block, word, k): words of each block of ``docs(block, train, text)``; k counts training ones."""
 
     def run(batches: Batches) -> Batches:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, Sums] = {}
 
         def rows(block: int) -> pa.RecordBatch:
-            w, k = held.pop(block)
+            w, k = held.pop(block).take()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), pa.array(w.view(np.int64)), pa.array(k)], names=["block", "word", "k"])
 
         for batch in batches:
@@ -190,8 +216,8 @@ def block_words(docs: DataFrame) -> DataFrame:
                     own = blocks[text] == block
                     w, back = np.unique(words.hashes[own], return_inverse=True)
                     k = np.bincount(back, weights=train[text[own]], minlength=len(w)).astype(np.int64)
-                    held[block] = merged(*held[block], w, k) if block in held else (w, k)
-                while len(held) > 8 or sum(len(x[0]) for x in held.values()) > 4_000_000:
+                    held.setdefault(block, Sums(500_000)).add(w, k)
+                while len(held) > 8 or sum(x.size for x in held.values()) > 4_000_000:
                     yield rows(next(iter(held)))
         for block in list(held):
             yield rows(block)

@@ -42,7 +42,7 @@ MARK_EVERY = 128
 BLOCK_BYTES = 1 << 20
 DOCS_PER_SHARD = 20_000
 #: Ids coded by one vectorised step.
-STEP_IDS = 400_000
+STEP_IDS = 200_000
 
 IDS_SCHEMA = "doc_id long, n_tokens int, ids binary"
 CODED_SCHEMA = "shard int, doc_id long, n_tokens int, marks binary, payload binary"
@@ -79,8 +79,7 @@ def flat(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     _, offset_buffer, data = column.buffers()
     offsets = np.frombuffer(offset_buffer, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.frombuffer(raw.tobytes(), dtype), (offsets - offsets[0]) // size
+    return raw.view(dtype), (offsets - offsets[0]) // np.dtype(dtype).itemsize
 
 
 def row_ranges(bounds: np.ndarray, limit: int = STEP_IDS) -> Iterator[tuple[int, int]]:
@@ -99,10 +98,11 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             ids, _ = flat(batch.column(0), "<u4")
-            n = np.bincount(ids)
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+            for lo in range(0, len(ids), STEP_IDS):
+                n = np.bincount(ids[lo : lo + STEP_IDS])
+                if len(n) > len(total):
+                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+                total[: len(n)] += n
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token_id", "n"])
 
