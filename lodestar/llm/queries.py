@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, exact_dedup, language_id, license_scan, mixing, substring_dedup, suffix_tree, token_counts, token_files
+from lodestar.llm import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, mixing, substring_dedup, suffix_tree, token_counts, token_files
 from lodestar.llm.common import scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,7 +81,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MARGINS, TARGETS).withColumn("prob", F.round("prob", 6))
 
 
-QUERIES = {"op4_license_scan": op4_license_scan, "op9_mixing": op9_mixing, "op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op4_license_scan": op4_license_scan, "op9_mixing": op9_mixing, "op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
 OP1_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -128,4 +132,23 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-SQL = {"op4_license_scan": license_scan.oracle_sql(), "op9_mixing": mixing.oracle_sql(MARGINS, TARGETS), "op3_decontamination": OP3_SQL, "op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 1))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 90 * (a.n + b.n - o)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), comp AS (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x),
+deg AS (SELECT x AS doc_id, count(*) AS d FROM links GROUP BY x),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM (SELECT doc_id, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id))
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c, w.doc_id)) AS component_id, coalesce(d, 0) AS n_links, coalesce(class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN deg USING (doc_id) LEFT JOIN cls USING (doc_id)
+"""
+
+SQL = {"op2_jaccard_join": OP2_SQL, "op4_license_scan": license_scan.oracle_sql(), "op9_mixing": mixing.oracle_sql(MARGINS, TARGETS), "op3_decontamination": OP3_SQL, "op1_substring_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
