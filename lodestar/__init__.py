@@ -1,0 +1 @@
+"""Batch retrieval, ranking and evaluation on Spark DataFrames."""
