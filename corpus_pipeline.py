@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return token_files.crc_rows(token_files.roundtrip(docs, tokenizer_path(), END_ID, scratch_path(spark, "token-files")))
+    return token_files.roundtrip(docs, tokenizer_path(), END_ID, scratch_path(spark, "token-files"), digest=True)
 
 
 STAGES = [

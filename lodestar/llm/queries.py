@@ -56,7 +56,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_files.crc_rows(token_files.roundtrip(docs, tokenizer_path(), 2, scratch_path(spark, "token-files")))
+    return token_files.roundtrip(docs, tokenizer_path(), 2, scratch_path(spark, "token-files"), digest=True)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,7 @@ def write_token_files(tokens: DataFrame, path: str, docs_per_shard: int = DOCS_P
     held = spark.sparkContext.broadcast((code.ids, code.lengths))
 
     def coded(batches: Batches) -> Batches:
+        encoder.cache_clear()  # a reused worker may still hold units
         own = Code(*held.value)
         for batch in batches:
             all_ids, bound = flat(batch.column(2), "<u4")
@@ -275,8 +276,12 @@ def read_code(spark: SparkSession, path: str) -> Code:
     return Code(rows["token_id"].to_numpy(np.int64), rows["length"].to_numpy(np.int64))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): what the files hold; start counts the ids before a document."""
+def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): what the files hold; start counts the ids before a document.
+
+    With ``digest``, ids_crc32 stands for ids: the unsigned CRC-32 of a document's ids as
+    little-endian uint32.
+    """
     code = read_code(spark, path)
     held = spark.sparkContext.broadcast((code.ids, code.lengths))
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
@@ -291,7 +296,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         "shard", "posexplode(transform(b, (x, i) -> struct(x.block AS block, shard_start + aggregate(slice(b, 1, i), 0L, (a, y) -> a + y.n) AS start))) AS (i, s)"
     ).select("shard", F.col("s.block").alias("block"), F.col("s.start").alias("block_start"))
 
+    last = "ids_crc32" if digest else "ids"
+
     def run(batches: Batches) -> Batches:
+        encoder.cache_clear()
         own = Code(*held.value)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -301,27 +309,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     np.frombuffer(row["payload"].as_py(), np.uint8), n, row["sizes"].values.to_numpy(), np.frombuffer(row["marks"].as_py(), "<u2")
                 )
                 cut = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays(
-                    [row["doc_ids"].values, pa.array(cut[:-1] + row["block_start"].as_py()), pa.array(n), binary_rows(ids.view(np.uint8), cut * 4)],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
-
-    return blocks.join(starts, ["shard", "block"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def crc_rows(decoded: DataFrame) -> DataFrame:
-    """Replaces ``ids`` with the unsigned CRC-32 of their bytes."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x.as_buffer()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                raw = ids.astype("<u4").view(np.uint8)
+                if digest:
+                    value = pa.array([zlib.crc32(raw[a:b]) for a, b in zip((cut[:-1] * 4).tolist(), (cut[1:] * 4).tolist())], pa.int64())
+                else:
+                    value = binary_rows(raw, cut * 4)
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(cut[:-1] + row["block_start"].as_py()), pa.array(n), value], names=["doc_id", "start", "n_tokens", last])
 
-    return decoded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(starts, ["shard", "block"]).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
-def roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> DataFrame:
+def roundtrip(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, digest: bool = False) -> DataFrame:
     """Encodes, writes, reads back."""
     tokens = materialize(token_table(docs, tokenizer_path, end_id), "token-ids")
     write_token_files(tokens, path)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, digest)
