@@ -25,13 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A missing label is filled with the prediction.
     """
     net = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs, net)
-    wrong = F.coalesce((F.col("lang") != F.col("lang_pred")) & (F.col("score") >= CONTRADICTION), F.lit(False))
-    no_letter = F.col("lang_pred") == language_id.UNDETERMINED
+    pred, score = "__lang_pred", "__lang_score"
+    found = language_id.predict(docs, net, added=(pred, score))
+    wrong = F.coalesce((F.col("lang") != F.col(pred)) & (F.col(score) >= CONTRADICTION), F.lit(False))
+    no_letter = F.col(pred) == language_id.UNDETERMINED
     if net is None:  # nothing to learn from: only the missing letters can be told
         no_letter = ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     kept = found.where(~wrong & ~no_letter)
-    lang = F.coalesce("lang", "lang_pred") if net is not None else F.col("lang")
+    lang = F.coalesce("lang", pred) if net is not None else F.col("lang")
     return kept.withColumn("lang", lang).select(docs.columns)
 
 
@@ -54,7 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that the kept tokens approach the target weights."""
-    rows = docs.withColumn("row", F.struct(*docs.columns))
+    rows = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("row"))
     return mixing.mix(rows, MARGINS, TARGETS, columns=["row"]).where("sampled").select("row.*")
 
 

@@ -198,8 +198,8 @@ def fit(docs: DataFrame, seed: int = 7) -> Network | None:
     return train(np.array(windows), np.array(labels), names, seed)
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to ``docs``; all its columns stay."""
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the prediction and its score to ``docs``, under the names in ``added``; all columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(net)
     names, at = docs.columns, docs.columns.index(text_col)
 
@@ -221,10 +221,10 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                     pred = [own.labels[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), letters.tolist())]
                     score = np.where(letters, share[np.arange(n), best], 0.0)
                 part = [c.slice(lo, hi - lo) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part, pa.array(pred, pa.string()), pa.array(score)], names=[*names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, {added[0]} string, {added[1]} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
