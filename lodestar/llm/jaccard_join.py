@@ -13,8 +13,8 @@ all documents; the order decides only speed).  Two sets that link share one of t
 two blocks the size and position bounds say at once whether any of their entries can link; a
 block without a partner block is skipped whole.
 
-**Short lists** (up to ``DENSE`` entries) give candidate pairs, which are made distinct and then
-verified against whole sets.
+**Short lists** (up to ``DENSE`` entries) give candidate pairs, which are made distinct, thinned by
+parity bitmaps (lossless) and verified against whole sets.
 
 **Dense lists** give no pairs.  Their surviving sets meet in cells of bounded size, a cell for each
 pair of chunks of neighbouring size classes, and are verified there.  *Answer-level skipping*: a
@@ -52,7 +52,9 @@ PERCENT = 90
 DENSE = 48
 CHUNK = 512
 #: Shingles whose frequency takes part in the order; the rest count as rare.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 8
 _SPACE = space_separated()
 
 
@@ -83,6 +85,20 @@ class Sets:
         self.d1 = mix(total(0x51ED270B7A13) + self.size.astype(U64)).view(np.int64)
         self.d2 = mix(total(0x2545F4914F6CDD1D) ^ self.size.astype(U64)).view(np.int64)
 
+    def bitmaps(self) -> pa.Array:
+        """Parity bitmaps: each shingle flips one of 512 bits of its set's bitmap.
+
+        Two sets differ in at least as many shingles as their bitmaps do in bits.
+        """
+        out = np.zeros((len(self.size), BITMAP_WORDS), U64)
+        full = np.flatnonzero(self.size)
+        if len(full):
+            bit = np.left_shift(U64(1), self.shingle & U64(63))
+            word = (self.shingle >> U64(6)) & U64(BITMAP_WORDS - 1)
+            for w in range(BITMAP_WORDS):
+                out[full, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U64(0)), self.first[full])
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), BITMAP_WORDS).cast(pa.list_(pa.int64()))
+
     def _sums(self, values: np.ndarray) -> np.ndarray:
         done = np.zeros(len(values) + 1, U64)
         np.cumsum(values, out=done[1:])
@@ -90,15 +106,15 @@ class Sets:
 
 
 def shapes(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(doc_id, n, d1, d2): set size and 128-bit digest of each document's set."""
+    """(doc_id, n, d1, d2, bits): size, 128-bit digest and parity bitmap of each document's set."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 s = Sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s.size.astype(np.int32)), pa.array(s.d1), pa.array(s.d2)], names=["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s.size.astype(np.int32)), pa.array(s.d1), pa.array(s.d2), s.bitmaps()], names=["doc_id", "n", "d1", "d2", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, d1 long, d2 long")
+    return docs.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, bits array<long>")
 
 
 def global_order(docs: DataFrame, width: int = WORDS, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -221,6 +237,23 @@ def short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "x long, y long, pos_x int").groupBy("x", "y").agg(F.min("pos_x").alias("pos_x"))
 
 
+def bitmap_filter(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their bitmaps do not rule out.
+
+    Sets that differ in k shingles share (n_x + n_y - k) / 2, and bitmaps that differ in b bits prove
+    k >= b.  A bitmap is 64 bytes where a set is kilobytes.  Digests that stand for several sets
+    (a collision of 64 bits) are passed on unfiltered.
+    """
+    ids = pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).distinct()
+    bits = shape.join(ids, "d1", "left_semi").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("bits")).alias("bits"), F.max("n").alias("n"))
+    bits = materialize(bits, "bitmaps")
+    side = lambda k: bits.select(F.col("d1").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    total = F.col("n_x") + F.col("n_y")
+    may_link = (100 + percent) * (total - apart) >= 2 * percent * total
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(F.coalesce(may_link, F.lit(True))).select("x", "y", "pos_x")
+
+
 CELL = ["shingle", "g", "a", "b"]
 
 
@@ -403,6 +436,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = materialize(index.groupBy("shingle").agg((F.min("d1") < F.max("d1")).alias("t"), F.count("*").alias("many")).where("t").select("shingle", "many"), "shared-shingles")
     entries = materialize(index.join(shared, "shingle").distinct(), "entries")
     pairs = materialize(short_pairs(entries.where(F.col("many") <= dense), percent), "pairs")
+    pairs = materialize(bitmap_filter(pairs, shape, percent), "likely-pairs")
     cells = materialize(dense_cells(entries.where(F.col("many") > dense), percent, chunk), "cells")
     needed = materialize(pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).union(cells.select("d1")).distinct(), "needed-sets")
     wanted = None
@@ -424,7 +458,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("d1", "d2", "n", "rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links")),
         "answers",
     )
-    return shape.join(answer, ["d1", "d2", "n"], "left").select(
+    return shape.drop("bits").join(answer, ["d1", "d2", "n"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("class_id"),
     )
