@@ -232,14 +232,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Scores of all documents; those whose fold is 0 are held out of training.
 
     ``block`` groups rows whose words are looked up together (some thousand rows each); rows of
-    a file should be given by file and row number, as the default, a hash of the id, spreads
-    them.
+    a file should be given by file and row number, which keeps a task's blocks few.  The default
+    is a hash of the id into as many blocks as the table needs.
     """
     spark = docs.sparkSession
+    if block is None:
+        block = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-docs.count() // BLOCK_ROWS))))
     fold = fold_number(id_col, folds)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold != 0).alias("train"),
-        (F.pmod(F.xxhash64(id_col), F.lit(1024)) if block is None else block).cast("long").alias("block"),
+        block.cast("long").alias("block"),
     )
     words = materialize(block_words(rows), "block-words")
     counts = materialize(words.groupBy("word").agg(F.sum("k").alias("c")).where("c > 0"), "word-counts")

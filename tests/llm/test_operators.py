@@ -260,3 +260,13 @@ def test_null_ids(spark):
     assert len(jaccard_join.jaccard_join(docs).collect()) == 3
     for frame in (license_scan.license_scan(docs), mixing.mix(docs, MARGINS, TARGETS), suffix_tree.score_documents(docs), language_id.identify(docs), exact_dedup.exact_groups(docs)):
         assert frame.count() == 3
+
+
+def test_scratch_can_be_dropped(spark):
+    from lodestar.llm.common import drop_scratch
+
+    kept = materialize(spark.range(3), "drop-me")
+    assert kept.count() == 3
+    drop_scratch(spark)
+    with pytest.raises(Exception, match="."):
+        kept.collect()
