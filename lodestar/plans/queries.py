@@ -8,6 +8,7 @@ Floating-point results are rounded to six places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,14 @@ SQL: dict[str, str] = {}
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
 
 
+def longs(rows: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, as SQL counts them."""
+    return rows.withColumns({f: F.col(f).cast("long") for f, kind in rows.dtypes if kind == "int"})
+
+
 def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, d: longs(f(spark, d)))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -127,7 +133,7 @@ nr AS (SELECT qid, count(*) AS n_ranked FROM a GROUP BY qid),
 h AS (SELECT qid, min(rank) AS first_hit_rank, {', '.join(f'count(*) FILTER (rank <= {k}) AS h{k}' for k in METRIC_K)}, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg FROM a JOIN g USING (qid, doc_id) GROUP BY qid),
 it AS (SELECT qid, CASE WHEN n_gold > 1 THEN 'aggregation' ELSE 'factoid' END AS question_type,
   {', '.join(f'coalesce(h{k}, 0) * 1.0 / n_gold AS recall_{k}' for k in METRIC_K)},
-  {', '.join(f'CASE WHEN coalesce(h{k}, 0) > 0 THEN 1.0 ELSE 0.0 END AS hit_{k}' for k in METRIC_K)},
+  {', '.join(f'CAST(coalesce(h{k}, 0) > 0 AS DOUBLE) AS hit_{k}' for k in METRIC_K)},
   {', '.join(f'coalesce(h{k} * 1.0 / nullif(least({k}, n_ranked), 0), 0) AS precision_{k}' for k in METRIC_K)},
   coalesce(1.0 / first_hit_rank, 0) AS mrr, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, first_hit_rank
   FROM gi LEFT JOIN h USING (qid) LEFT JOIN nr USING (qid))"""
@@ -615,7 +621,7 @@ j AS (SELECT qid, deg AS degenerate, abst AS abstained, CASE WHEN NOT deg THEN a
   len(cl) AS n, len(list_filter(cl, lambda i: i % 3 = quality)) AS good, greatest(0.0, least(1.0, (doc_id % 8) / 5.0 - 0.1)) AS rel, CASE WHEN doc_id % 2 = 0 THEN 1.0 / 3 ELSE 2.0 / 3 END AS prec FROM c),
 items AS (SELECT qid, degenerate, abstained, abstention_correct, CASE WHEN ok AND NOT bad THEN good * 1.0 / n WHEN abstained THEN 1.0 END AS faithfulness, CASE WHEN ok THEN rel END AS answer_relevance,
   CASE WHEN ok THEN prec END AS context_precision, CASE WHEN ok AND NOT bad THEN n ELSE 0 END AS n_claims, CASE WHEN ok AND NOT bad THEN n - good ELSE 0 END AS n_unsupported,
-  CASE WHEN degenerate OR (ok AND bad) THEN 1 ELSE 0 END AS n_errors FROM j)"""
+  CAST(degenerate OR (ok AND bad) AS BIGINT) AS n_errors FROM j)"""
 
 
 @register(f"WITH {JUDGED_SQL} SELECT qid, degenerate, abstained, abstention_correct, round(faithfulness, 6) AS faithfulness, round(answer_relevance, 6) AS answer_relevance, round(context_precision, 6) AS context_precision, n_claims, n_unsupported, n_errors FROM items")
