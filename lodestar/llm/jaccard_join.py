@@ -17,7 +17,8 @@ block without a partner block is skipped whole.
 parity bitmaps (lossless) and verified against whole sets.
 
 **Dense lists** give no pairs.  Their surviving sets meet in cells of bounded size, a cell for each
-pair of chunks of neighbouring size classes, and are verified there.  *Answer-level skipping*: a
+pair of chunks of neighbouring size classes, where bitmaps must leave them a partner, and are
+verified there.  *Answer-level skipping*: a
 cell holds, for each set, its overlaps with all others; those of a set are derived from the
 overlaps of a highly similar set computed before, by going through the symmetric difference
 only.  A pair counts where the list is that of its first common shingle, so links are counted
@@ -52,7 +53,7 @@ PERCENT = 90
 DENSE = 48
 CHUNK = 512
 #: Shingles whose frequency takes part in the order; the rest count as rare.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 8
 _SPACE = space_separated()
@@ -124,7 +125,7 @@ def global_order(docs: DataFrame, width: int = WORDS, limit: int = FREQUENT) ->
     """
 
     def run(batches: Batches) -> Batches:
-        sums = Sums()
+        sums = Sums(1_000_000, 2_000_000)
 
         def rows() -> pa.RecordBatch:
             k, n = sums.take()
@@ -237,6 +238,12 @@ def short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "x long, y long, pos_x int").groupBy("x", "y").agg(F.min("pos_x").alias("pos_x"))
 
 
+def bitmap_table(shape: DataFrame, ids: DataFrame) -> DataFrame:
+    """(d1, bits, n) of the digests in ``ids``; bits is null where a digest stands for several sets."""
+    bits = shape.join(ids.distinct(), "d1", "left_semi").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("bits")).alias("bits"), F.max("n").alias("n"))
+    return materialize(bits, "bitmaps")
+
+
 def bitmap_filter(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """Pairs that their bitmaps do not rule out.
 
@@ -244,9 +251,7 @@ def bitmap_filter(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame
     k >= b.  A bitmap is 64 bytes where a set is kilobytes.  Digests that stand for several sets
     (a collision of 64 bits) are passed on unfiltered.
     """
-    ids = pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).distinct()
-    bits = shape.join(ids, "d1", "left_semi").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("bits")).alias("bits"), F.max("n").alias("n"))
-    bits = materialize(bits, "bitmaps")
+    bits = bitmap_table(shape, pairs.select(F.col("x").alias("d1")).union(pairs.select("y")))
     side = lambda k: bits.select(F.col("d1").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
     apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
     total = F.col("n_x") + F.col("n_y")
@@ -260,7 +265,7 @@ CELL = ["shingle", "g", "a", "b"]
 def dense_cells(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Members (shingle, g, a, b, side, d1) of cells in which a link is possible.
 
-    ``entries`` also has ``many``, the length of the list.  A set of size class g is at home in
+    ``entries`` also has ``many``, the length of the list, and ``bits``.  A set of size class g is at home in
     (shingle, g) and a visitor in (shingle, g + 1): sets that link are at most one class apart.
     side is 2 * (visitor) + (1 for the cell's second chunk).
     """
@@ -273,7 +278,7 @@ def dense_cells(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
         .withColumn("visitor", F.explode(F.array(F.lit(0), F.lit(1))))
         .select(
             "shingle", (F.col("g") + F.col("visitor")).alias("g"), F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"),
-            (F.col("visitor") * 2 + F.when(F.col("h") > F.col("k"), 1).otherwise(0)).cast("int").alias("side"), "d1", "n", "pos",
+            (F.col("visitor") * 2 + F.when(F.col("h") > F.col("k"), 1).otherwise(0)).cast("int").alias("side"), "d1", "n", "pos", "bits",
         )
     )
 
@@ -284,12 +289,34 @@ def dense_cells(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if hi - lo > 1:
                     of, ok, _ = block_partners(n[lo:hi], pos[lo:hi], side[lo:hi], cell_meets(a[lo] == b[lo]), percent)
-                    keep[lo:hi] = ok.any(axis=1)[of]
+                    left = lo + np.flatnonzero(ok.any(axis=1)[of])  # blocks without a partner are gone
+                    if len(left):
+                        keep[left] = bitmap_partners(table.column("bits").take(pa.array(left)), n[left], ok, of[left - lo], percent)
             yield from table.filter(pa.array(keep)).select([*CELL, "side", "d1"]).combine_chunks().to_batches()
 
     return placed.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "shingle long, g int, a int, b int, side int, d1 long")
 
 
+def bitmap_partners(bits: pa.ChunkedArray, n: np.ndarray, ok: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries have another one that neither the blocks' bounds nor the bitmaps rule out."""
+    bits = bits.combine_chunks()
+    known = bits.is_valid().to_numpy(zero_copy_only=False)
+    words = np.zeros((len(n), BITMAP_WORDS), U64)
+    words[known] = bits.drop_null().flatten().to_numpy(zero_copy_only=False).view(U64).reshape(-1, BITMAP_WORDS)
+    out, n = np.zeros(len(n), bool), n.astype(np.int64)
+    for lo in range(0, len(n), 128):
+        part = slice(lo, lo + 128)
+        apart = np.zeros((len(n[part]), len(n)), np.int64)
+        for w in range(BITMAP_WORDS):
+            apart += np.bitwise_count(words[part, None, w] ^ words[None, :, w])
+        total = n[part, None] + n[None]
+        likely = ((100 + percent) * (total - apart) >= 2 * percent * total) | ~known[part, None] | ~known[None]
+        likely &= ok[block[part]][:, block]
+        likely[np.arange(len(likely)), lo + np.arange(len(likely))] = False
+        out[part] = likely.any(axis=1)
+    return out
+
+
 def cell_meets(one_chunk: bool):
     """Two visitors never meet; with two chunks, only sets of different ones do."""
     return lambda s, t: ((s < 2) | (t < 2)) & (True if one_chunk else (s & 1) != (t & 1))
@@ -437,7 +464,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = materialize(index.join(shared, "shingle").distinct(), "entries")
     pairs = materialize(short_pairs(entries.where(F.col("many") <= dense), percent), "pairs")
     pairs = materialize(bitmap_filter(pairs, shape, percent), "likely-pairs")
-    cells = materialize(dense_cells(entries.where(F.col("many") > dense), percent, chunk), "cells")
+    crowded = entries.where(F.col("many") > dense)
+    crowded = crowded.join(bitmap_table(shape, crowded.select("d1")).select("d1", "bits"), "d1")
+    cells = materialize(dense_cells(crowded, percent, chunk), "cells")
     needed = materialize(pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).union(cells.select("d1")).distinct(), "needed-sets")
     wanted = None
     if needed.count() <= BROADCAST_IDS:

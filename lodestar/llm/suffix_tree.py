@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import Batches, materialize
 from lodestar.llm.wordhash import U64, joined, mix, space_separated, split_words, text_slices
 
-DEPTH = 5
+DEPTH = 4
 P_MIN = 3e-6
 MIN_DIVERGENCE = 0.005
 SMOOTHING = 2.0
