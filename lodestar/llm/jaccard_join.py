@@ -55,7 +55,7 @@ CHUNK = 512
 #: Shingles whose frequency takes part in the order; the rest count as rare.
 FREQUENT = 1 << 18
 #: 64-bit words of a set's parity bitmap.
-BITMAP_WORDS = 8
+BITMAP_WORDS = 32
 _SPACE = space_separated()
 
 
@@ -87,17 +87,18 @@ class Sets:
         self.d2 = mix(total(0x2545F4914F6CDD1D) ^ self.size.astype(U64)).view(np.int64)
 
     def bitmaps(self) -> pa.Array:
-        """Parity bitmaps: each shingle flips one of 512 bits of its set's bitmap.
+        """Parity bitmaps: each shingle flips one bit of its set's bitmap.
 
         Two sets differ in at least as many shingles as their bitmaps do in bits.
         """
+        width = 64 * BITMAP_WORDS
         out = np.zeros((len(self.size), BITMAP_WORDS), U64)
-        full = np.flatnonzero(self.size)
-        if len(full):
-            bit = np.left_shift(U64(1), self.shingle & U64(63))
-            word = (self.shingle >> U64(6)) & U64(BITMAP_WORDS - 1)
-            for w in range(BITMAP_WORDS):
-                out[full, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U64(0)), self.first[full])
+        bit = (self.shingle & U64(width - 1)).astype(np.int64)
+        for lo in range(0, len(self.size), 256):  # bounds the counters
+            hi = min(lo + 256, len(self.size))
+            own = slice(self.first[lo], self.first[hi])
+            flips = np.bincount((self.text[own] - lo) * width + bit[own], minlength=(hi - lo) * width) & 1
+            out[lo:hi] = np.packbits(flips.astype(np.uint8)).view(U64).reshape(hi - lo, BITMAP_WORDS)
         return pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), BITMAP_WORDS).cast(pa.list_(pa.int64()))
 
     def _sums(self, values: np.ndarray) -> np.ndarray:
@@ -248,7 +249,7 @@ def bitmap_filter(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame
     """Pairs that their bitmaps do not rule out.
 
     Sets that differ in k shingles share (n_x + n_y - k) / 2, and bitmaps that differ in b bits prove
-    k >= b.  A bitmap is 64 bytes where a set is kilobytes.  Digests that stand for several sets
+    k >= b.  A bitmap is 256 bytes where a long set is many kilobytes.  Digests that stand for several sets
     (a collision of 64 bits) are passed on unfiltered.
     """
     bits = bitmap_table(shape, pairs.select(F.col("x").alias("d1")).union(pairs.select("y")))
