@@ -6,8 +6,7 @@
 line feed, read after ``DEPTH`` line feeds.  Every run of up to ``DEPTH`` symbols is a context; it
 is kept as a state when
 
-* it makes up at least ``P_MIN`` of all contexts of its length, which bounds the tree to
-  ``DEPTH / P_MIN`` states at any corpus size, and
+* it occurs at least ``MIN_COUNT`` times in training, so states grow with the corpus, and
 * the Kullback-Leibler divergence of its next-symbol distribution from that of its longest kept
   suffix is at least ``MIN_DIVERGENCE`` bits.
 
@@ -17,8 +16,11 @@ the score is the log10 probability of the whole text with its end.
 
 **Scale.**  Words are counted per block of documents, so a block sends each of its words once,
 however often it holds it; counts come back to blocks the same way and meet the block's texts in
-one cogroup of bounded size.  Symbol runs are counted per task before they are shuffled.  The
-driver gets the sums and the states that passed ``P_MIN``, never words or documents.
+one cogroup of bounded size.  The tree is grown in two parts.  Contexts of up to ``HEAD`` bytes
+are bounded by the alphabet, pass through the driver and are sent to all tasks.  Longer ones are
+spread over tasks by their last ``HEAD`` bytes: contexts that end alike are one subtree, whose
+runs, counted per block, meet in one group; it grows the subtree and answers each block with
+the probabilities of the block's own runs.  No task or driver holds the whole tree.
 
 **Defined cases.**  Null and empty texts are one end token.  A null id counts as the id ''.
 Rows are scored each on its own; repeated rows count as often as they occur.  Without training
@@ -31,14 +33,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Batches, materialize
 from lodestar.llm.wordhash import U64, joined, mix, space_separated, split_words, text_slices
 
-DEPTH = 4
-P_MIN = 3e-6
+DEPTH = 6
+#: Bytes of context up to which states are held by the driver; longer ones stay distributed.
+HEAD = 3
+MIN_COUNT = 8
 MIN_DIVERGENCE = 0.005
 SMOOTHING = 2.0
 BLOCK_ROWS = 4096
@@ -71,7 +76,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarr
     return key, cut + np.arange(n + 1), words.counts()
 
 
-def run_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def run_counts(docs: DataFrame, depth: int = HEAD) -> DataFrame:
     """(run, n): how often each context with its next symbol occurs in ``docs(text)``."""
 
     def run(batches: Batches) -> Batches:
@@ -152,35 +157,119 @@ def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_keys[at] == wanted
 
 
-def grow(runs: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
-    """The tree of ``run_counts`` (materialized: it is read once per depth)."""
-    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def add_level(tree: Tree, pairs: np.ndarray, n: np.ndarray, min_count: int, min_divergence: float, smoothing: float) -> None:
+    """Adds the tree's next level from distinct sorted (context, symbol) pairs and their counts.
+
+    All pairs of a context must be among them.
+    """
+    states, first, back = np.unique(pairs >> U64(8), return_index=True, return_inverse=True)
+    all_n = np.bincount(back, weights=n, minlength=len(states))
+    often = (all_n >= min_count)[back]
+    pairs, n, back = pairs[often], n[often], back[often]
+    gain = n / all_n[back] * np.log2(n / all_n[back] / tree.probabilities(pairs))
+    kept = (all_n >= min_count) & (np.bincount(back, weights=gain, minlength=len(states)) >= min_divergence)
+    of = kept[back]
+    tree.levels.append((states[kept], (smoothing / (all_n + smoothing))[kept], pairs[of], (n / (all_n[back] + smoothing))[of]))
+
+
+def grow(runs: DataFrame, depth: int = HEAD, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
+    """The tree of ``run_counts`` (materialized: it is read once per depth), up to ``HEAD`` symbols."""
     by_symbol = np.full(256, 0.1)
     for r in runs.groupBy((F.col("run").bitwiseAND(255)).alias("s")).agg(F.sum("n").alias("n")).collect():
         by_symbol[r["s"]] += r["n"]
     tree = Tree(by_symbol / by_symbol.sum(), depth)
     for d in range(1, depth + 1):
         pair = F.col("run").bitwiseAND((1 << (8 * (d + 1))) - 1)
-        pairs = runs.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n"))
-        often = pairs.groupBy(F.shiftright("pair", 8).alias("context")).agg(F.sum("n").alias("all")).where(F.col("all") >= p_min * total)
-        rows = pairs.withColumn("context", F.shiftright("pair", 8)).join(often, "context").select("context", "pair", "n", "all").toPandas().sort_values("pair")
-        context, pair_key, n, all_n = (rows[c].to_numpy(np.int64) for c in ("context", "pair", "n", "all"))
-        if not len(rows):
-            tree.levels.append((np.empty(0, U64), np.empty(0), np.empty(0, U64), np.empty(0)))
-            continue
-        gain = n / all_n * np.log2(n / all_n / tree.probabilities(pair_key.astype(U64)))
-        states, first, back = np.unique(context, return_index=True, return_inverse=True)
-        kept = np.bincount(back, weights=gain) >= min_divergence
-        of = kept[back]
-        tree.levels.append((states[kept].astype(U64), (smoothing / (all_n[first] + smoothing))[kept], pair_key[of].astype(U64), (n / (all_n + smoothing))[of]))
+        pairs = runs.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).toPandas().sort_values("pair")
+        add_level(tree, pairs["pair"].to_numpy(np.int64).astype(U64), pairs["n"].to_numpy(np.int64), min_count, min_divergence, smoothing)
+    return tree
+
+
+def grown(head: Tree, runs: np.ndarray, n: np.ndarray, depth: int, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, smoothing: float = SMOOTHING) -> Tree:
+    """``head`` with the subtrees of the training runs ``runs``, which are all that end like them."""
+    tree = Tree(head.root, depth, list(head.levels))
+    for d in range(head.depth + 1, depth + 1):
+        pairs, back = np.unique(runs & U64((1 << (8 * (d + 1))) - 1), return_inverse=True)
+        add_level(tree, pairs, np.bincount(back, weights=n, minlength=len(pairs)), min_count, min_divergence, smoothing)
     return tree
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of one width, compressed byte by byte of them."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
+    """Distinct runs of each block of ``docs(block, train, text)`` with their training counts, by bucket.
+
+    A bucket holds all runs whose last ``HEAD`` bytes of context are the same.
+    """
+
+    def run(batches: Batches) -> Batches:
+        held: dict[int, Sums] = {}
+
+        def rows(block: int) -> pa.RecordBatch:
+            keys, n = held.pop(block).take()
+            bucket = (mix(keys >> U64(8) & U64((1 << (8 * HEAD)) - 1)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, n, bucket = keys[order], n[order], bucket[order]
+            own, first = np.unique(bucket, return_index=True)
+            parts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own), pa.array(np.full(len(own), block)), pa.array([hi - lo for lo, hi in parts], pa.int64()),
+                    pa.array([pack(np.diff(keys[lo:hi], prepend=U64(0))) for lo, hi in parts], pa.binary()), pa.array([pack(n[lo:hi]) for lo, hi in parts], pa.binary()),
+                ],
+                names=["bucket", "block", "size", "runs", "n"],
+            )
+
+        for batch in batches:
+            blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
+                keys, cut, _ = symbols(data, offsets, depth)
+                text = np.repeat(np.arange(lo, hi), np.diff(cut))
+                for block in np.unique(blocks[lo:hi]).tolist():
+                    own = blocks[text] == block
+                    u, back = np.unique(keys[own], return_inverse=True)
+                    held.setdefault(block, Sums(2_000_000)).add(u, np.bincount(back, weights=train[text[own]], minlength=len(u)).astype(np.int64))
+                while len(held) > 8 or sum(x.size for x in held.values()) > 6_000_000:
+                    yield rows(next(iter(held)))
+        for block in list(held):
+            yield rows(block)
+
+    return docs.select("block", "train", "text").mapInArrow(run, "bucket long, block long, size long, runs binary, n binary")
+
+
+def run_scores(packed: DataFrame, head: Tree, depth: int) -> DataFrame:
+    """(block, size, runs, value): log10 probabilities of the runs of ``block_runs``."""
+    held = packed.sparkSession.sparkContext.broadcast(head)
+
+    def score(part: pa.Table) -> pa.Table:
+        sizes, runs = part.column("size").to_pylist(), part.column("runs").to_pylist()
+        keys = [np.cumsum(unpack(r, m, U64), dtype=U64) for r, m in zip(runs, sizes)]
+        n = np.concatenate([unpack(x, m, np.int64) for x, m in zip(part.column("n").to_pylist(), sizes)])
+        u, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(back, weights=n, minlength=len(u))
+        tree = grown(held.value, u[n > 0], n[n > 0], depth)
+        value = np.log10(tree.probabilities(u)).astype(np.float32)[back]
+        ends = np.cumsum(sizes)
+        return pa.table({"block": part.column("block"), "size": part.column("size"), "runs": part.column("runs"), "value": pa.array([pack(value[e - m : e]) for e, m in zip(ends.tolist(), sizes)], pa.binary())})
+
+    return packed.groupBy("bucket").applyInArrow(score, "block long, size long, runs binary, value binary")
+
+
 class Scorer:
     """log10 probabilities of symbol places; runs seen before come from a slot table."""
 
-    def __init__(self, tree: Tree):
-        self.tree = tree
+    def __init__(self, runs: np.ndarray, values: np.ndarray):
+        self.runs, self.values = runs, values
         self.key = np.full(1 << _SLOTS, U64((1 << 64) - 1))
         self.value = np.zeros(1 << _SLOTS)
 
@@ -190,13 +279,24 @@ class Scorer:
         miss = np.flatnonzero(self.key[slot] != runs)
         if len(miss):
             u, back = np.unique(runs[miss], return_inverse=True)
-            p = np.log10(self.tree.probabilities(u))
+            p = self.values[np.searchsorted(self.runs, u)]
             out[miss] = p[back]
             slot = (mix(u) >> U64(64 - _SLOTS)).astype(np.int64)
             self.key[slot], self.value[slot] = u, p
         return out
 
 
+def merged(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs and values of a block's rows of ``run_scores``."""
+    runs, values = [np.empty(0, U64)], [np.empty(0, np.float32)]
+    for r in packs.select(["size", "runs", "value"]).to_pylist():
+        runs.append(np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64))
+        values.append(unpack(r["value"], r["size"], np.float32))
+    keys = np.concatenate(runs)
+    order = np.argsort(keys)
+    return keys[order], np.concatenate(values)[order]
+
+
 def block_words(docs: DataFrame) -> DataFrame:
     """(block, word, k): words of each block of ``docs(block, train, text)``; k counts training ones."""
 
@@ -228,7 +328,7 @@ def block_words(docs: DataFrame) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block: Column | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """Scores of all documents; those whose fold is 0 are held out of training.
 
     ``block`` groups rows whose words are looked up together (some thousand rows each); rows of
@@ -248,12 +348,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = rows.where("train").count()
     s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = s["n"] + ends, s["v"] + (ends > 0)
-    tree = grow(materialize(run_counts(rows.where("train")), "symbol-runs"))
-    held = spark.sparkContext.broadcast(tree)
-    answers = words.select("block", "word").join(counts, "word")
+    head = grow(materialize(run_counts(rows.where("train"), min(HEAD, depth)), "symbol-runs"), min(HEAD, depth))
+    packed = block_runs(rows, depth, max(8, words.select("block").distinct().count()))
+    answers = words.select("block", "word").join(counts, "word").unionByName(run_scores(packed, head, depth), allowMissingColumns=True)
 
     def score(part: pa.Table, known: pa.Table) -> pa.Table:
-        scorer = Scorer(held.value)
+        packs = known.filter(pc.is_valid(known.column("runs")))
+        scorer = Scorer(*merged(packs))
+        known = known.filter(pc.is_valid(known.column("word")))
         w = known.column("word").to_numpy().view(np.uint64)
         order = np.argsort(w)
         w, c = w[order], known.column("c").to_numpy()[order]
@@ -267,7 +369,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             term = np.concatenate([[0.0], np.cumsum(np.log10(n + 0.1) - floor)])
             found = np.concatenate([[0], np.cumsum(n > 0)])
             base = term[tokens.first[1:]] - term[tokens.first[:-1]] + np.log10(ends + 0.1) - floor
-            key, cut, _ = symbols(data, offsets, tree_depth)
+            key, cut, _ = symbols(data, offsets, depth)
             value = np.add.reduceat(scorer(key), cut[:-1])
             out.append((lo, hi, tokens.counts() + 1, found[tokens.first[1:]] - found[tokens.first[:-1]] + (ends > 0), base, value))
         cat = lambda i: np.concatenate([x[i] for x in out])
@@ -278,7 +380,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             }
         ) if out else pa.Table.from_pylist([], schema=empty)
 
-    tree_depth = tree.depth
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return rows.select("block", "doc_id", "train", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
 

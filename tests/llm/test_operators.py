@@ -229,6 +229,40 @@ def test_lm_scores(documents, corpus):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
 
 
+def test_lm_states_grow_with_the_corpus(documents, corpus):
+    """Scores against a tree in dictionaries: every context of up to DEPTH bytes with MIN_COUNT occurrences takes part."""
+    depth, smoothing = suffix_tree.DEPTH, suffix_tree.SMOOTHING
+    assert depth > 4
+    pad = b"\n" * depth
+    runs = lambda t: [(s[i - depth : i], s[i]) for s in [pad + " ".join(spaced((t or "").translate(LOWER))).encode() + b"\n"] for i in range(depth, len(s))]
+    seen = collections.defaultdict(collections.Counter)
+    for r in corpus:
+        if zlib.crc32(str(r[0]).encode()) % 10:
+            for context, symbol in runs(r[1]):
+                for d in range(depth + 1):
+                    seen[context[depth - d :]][symbol] += 1
+    total = sum(seen[b""].values())
+    kept = {}
+
+    def p(context, symbol):
+        out = (seen[b""][symbol] + 0.1) / (total + 25.6)
+        for d in range(1, len(context) + 1):
+            own = kept.get(context[len(context) - d :])
+            if own:
+                n = sum(own.values())
+                out = smoothing / (n + smoothing) * out + own[symbol] / (n + smoothing)
+        return out
+
+    for context in sorted(seen, key=len):
+        n = sum(seen[context].values())
+        if context and n >= suffix_tree.MIN_COUNT and sum(c / n * math.log2(c / n / p(context[1:], s)) for s, c in seen[context].items()) >= suffix_tree.MIN_DIVERGENCE:
+            kept[context] = seen[context]
+    assert any(len(c) == depth and sum(n.values()) < 20 for c, n in kept.items())
+    texts = {r[0]: r[1] for r in corpus}
+    for r in suffix_tree.score_documents(documents).collect():
+        assert r["score"] == pytest.approx(sum(math.log10(p(*x)) for x in runs(texts[r["doc_id"]])), rel=1e-5)
+
+
 def test_suffix_tree_is_a_distribution(spark):
     import numpy as np
 
