@@ -17,6 +17,9 @@ from lodestar.llm.queries import MARGINS, TARGETS, tokenizer_path
 #: A prediction against the label rejects a document from this score on.
 CONTRADICTION = 0.9
 END_ID = 2
+#: Near copies: word shingles of this width, and their Jaccard similarity from this percentage on.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one with the smallest id stays, once."""
-    joined = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
+    joined = jaccard_join.jaccard_join(docs.select("doc_id", "text"), width=NEAR_WORDS, percent=NEAR_PERCENT)
     stay = materialize(joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
     kept = docs.join(ids_if_small(stay.select("doc_id")), "doc_id", "left_semi")
     if stay.where("n > 1").limit(1).count():

@@ -21,6 +21,19 @@ def test_stages(spark, documents, corpus, tmp_path):
     assert {r["doc_id"] for r in last.collect()} == kept[3]
 
 
+def test_near_copies_of_five_words(spark):
+    """5-word similarity 0.8 and more is a near copy, whatever that of 3 words; less is none."""
+    words = [f"w{i}" for i in range(154)]  # 150 shingles of five words, 152 of three
+    changed = lambda places: " ".join(f"x{i}" if i in places else w for i, w in enumerate(words))
+    shingles = lambda t, n: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)}
+    jaccard = lambda a, b, n: len(shingles(a, n) & shingles(b, n)) / len(shingles(a, n) | shingles(b, n))
+    base, near, far = changed(()), changed((2, 30, 80)), changed((20, 50, 80, 110))
+    assert 0.8 <= jaccard(base, near, 5) < 0.87 and jaccard(base, near, 3) < 0.9
+    assert jaccard(base, far, 5) < 0.8 and jaccard(near, far, 5) < 0.8
+    docs = spark.createDataFrame([(1, base), (2, near), (3, far)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
 def test_run_on_empty_table(spark, nothing, tmp_path):
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
