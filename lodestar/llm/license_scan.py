@@ -4,6 +4,8 @@
 
 **Method.**  Every line of a text is a block, a set of words; every license template is a set of
 words.  A block meets a template when it holds at least ``CONTAINMENT`` of the template's words.
+Runs of consecutive words, whatever line ends are among them, are blocks as well; they have
+``1 / CONTAINMENT`` times the template's words, so a notice that wraps is compared as a whole.
 All such pairs are found by a prefix-filtered join:
 
 * words are ordered by how many blocks hold them, rare ones first; only words of some template
@@ -15,13 +17,17 @@ All such pairs are found by a prefix-filtered join:
   must still reach the needed overlap;
 * the overlap of the remaining pairs is counted exactly.
 
-**Scale.**  Texts are scanned twice and never shuffled.  Blocks that pass the length filter are
+Runs inside a line are covered by it, so only texts with a line feed are cut into overlapping
+tiles, of which each run of a template's length lies in one.  Tiles without a word of any
+template's prefix are dropped; in the others every run is compared.
+
+**Scale.**  Texts are scanned three times and never shuffled.  Blocks that pass the length filter are
 kept as short arrays of word numbers; the join partner is the template table, fixed and tiny.
 Word counts are combined in each task before they move, and the driver sees one count per
 vocabulary word.  Results meet by document id, with no texts.
 
 **Defined cases.**  Null text counts as empty: no words, no labels, score 0.  Repeated rows are
-reported as often as they occur.  Blocks end at line feeds; a text without one is one block.
+reported as often as they occur.  Lines end at line feeds; a text without one is one line.
 """
 
 from __future__ import annotations
@@ -95,7 +101,10 @@ def needed(size: int, containment: float) -> int:
 
 
 def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs(id, text)`` to (id, block, label, overlap, containment) of all pairs that meet it."""
+    """``docs(id, text)`` to (id, block, label, overlap, containment) of all pairs that meet it.
+
+    ``block`` is the line's number, or null for the best run of words in a tile.
+    """
     templates = TEMPLATES if templates is None else templates
     sets = {label: sorted(set(body.split())) for label, body in templates.items()}
     least = min(needed(len(s), containment) for s in sets.values())
@@ -120,13 +129,38 @@ def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, c
     places = ranked.select("id", "block", "own", F.posexplode("own").alias("j", "rank"))
     shared = F.array_intersect("own", "ranks")
     left = F.least(F.col("size") - F.col("i"), F.size("own") - F.col("j"))
-    return (
+    lines = (
         places.join(prefix, "rank")
         .where((F.size("own") >= F.col("need")) & (left >= F.col("need")))
         .withColumn("shared", shared)
         .where((F.size("shared") >= F.col("need")) & (F.array_min("shared") == F.col("rank")))
         .select("id", "block", "label", F.size("shared").alias("overlap"), (F.size("shared") / F.col("size")).alias("containment"))
     )
+    rare = {t for s in sets.values() for t in sorted(s, key=order.get)[: len(s) - needed(len(s), containment) + 1]}
+    return lines.unionByName(run_matches(docs.select("id", text.alias("text")), templates, containment, sorted(rare)), allowMissingColumns=True)
+
+
+def run_matches(docs: DataFrame, templates: dict[str, str], containment: float, rare: list[str]) -> DataFrame:
+    """(id, label, overlap, containment) of runs of words in normalised ``docs(id, text)``, the best of each tile."""
+    length = {label: math.ceil(len(body.split()) / containment - 1e-9) for label, body in templates.items()}
+    step = max(length.values())
+    words = F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ")
+    # the words are bound by a lambda, so that they are split once and not for each tile
+    cut = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(step)), lambda i: F.slice(w, i, 2 * step)))
+    tiles = docs.where(F.col("text").contains("\n")).select("id", F.explode(F.flatten(cut)).alias("tile")).where(F.arrays_overlap("tile", F.array(*[F.lit(t) for t in rare])))
+    met = []
+    for label, body in sorted(templates.items()):
+        own = sorted(set(body.split()))
+        need, size, known = needed(len(own), containment), length[label], F.array(*[F.lit(t) for t in own])
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tile") - size + 1))
+        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("tile", i, size), known))))  # noqa: B023
+        overlap = F.when(F.size(F.array_intersect("tile", known)) >= need, most)
+        met.append(F.struct(F.lit(label).alias("label"), overlap.alias("overlap"), F.lit(len(own)).alias("size"), F.lit(need).alias("need")))
+    return (
+        tiles.select("id", F.explode(F.array(*met)).alias("m"))
+        .where("m.overlap >= m.need")
+        .select("id", "m.label", "m.overlap", (F.col("m.overlap") / F.col("m.size")).alias("containment"))
+    )
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:

@@ -126,6 +126,20 @@ def test_license_scan(documents, corpus):
     assert sum(map(len, got.values())) == len(corpus)
 
 
+def test_license_notice_over_line_ends(spark):
+    filler = " ".join(f"w{i}" for i in range(37))
+    notices = {
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "apache-2.0": "Licensed under the Apache\nLicense, Version 2.0",
+        "mit": "released\n\nunder\nthe\nMIT\nlicense",
+        "": "Redistribution and use in source\n" + filler + "\nand binary forms with or without\n" + filler + "\nmodification are permitted",
+    }
+    rows = [(f"{label}/{at}", f"{filler}\n" * at + "x " * at + text + "\n" + filler) for label, text in notices.items() for at in (0, 1, 2, 5)]
+    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id string, text string")))
+    assert {i: r["labels"] for i, r in got.items()} == {i: i.split("/")[0] for i, _ in rows}
+
+
 def test_exact_dedup(documents, corpus):
     norm = {r[0]: re.sub("[\x20\x09-\x0d]+", " ", r[1] or "") for r in corpus}
     groups = collections.defaultdict(list)
