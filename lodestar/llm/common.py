@@ -4,45 +4,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batches = Iterator[pa.RecordBatch]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestar-scratch-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_scopes: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The application's own part of the shared folder."""
     return f"{shared_folder(spark)}/lodestar/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join([scratch_root(spark), *_scopes, f"{label}-{uuid.uuid4().hex}"])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that ``materialize`` wrote; results that still read it become unusable."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, label: str):
+    """Scratch tables written inside are deleted at the end; what is to stay must have been stored elsewhere."""
+    _scopes.append(f"{label}-{uuid.uuid4().hex}")
+    folder = "/".join([scratch_root(spark), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _delete(spark, folder)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The copy survives lost executors, and its size is known to the optimizer.
     """
-    path = scratch_path(df.sparkSession, label)
+    path = path or scratch_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,21 +73,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """Apply ``step`` to each Arrow batch; it yields dicts of columns in the order of ``schema``."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+#: Names of the columns of ``text_key``.
+KEY = ["__k1", "__k2"]
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if batch.num_rows:
-                for out in step(batch):
-                    yield pa.RecordBatch.from_arrays([as_array(out[n]) for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text; what depends on the text alone returns to its rows by them.
 
-
-def as_array(values) -> pa.Array:
-    return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
+    Null counts as a text of its own.  Ids take no part, so null and repeated ids do no harm.
+    """
+    return [F.xxhash64(text).alias(KEY[0]), F.xxhash64(F.lit(1), text).alias(KEY[1])]
 
 
 #: Largest table, in rows of one 8-byte id, that is sent to every executor.
@@ -73,5 +90,5 @@ BROADCAST_IDS = 4_000_000
 
 
 def ids_if_small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` (materialized, one id column), marked for broadcast only if its count is bounded."""
+    """``ids`` (materialized, keys of 8 to 16 bytes), marked for broadcast only if its count is bounded."""
     return F.broadcast(ids) if ids.count() <= limit else ids

@@ -13,101 +13,115 @@ filtering:
 4. What remains is verified word by word over a stretch of the window's own size.
 
 **Scale.**  Documents are never shuffled; both passes are scans.  Benchmark windows are sent to the
-executors in blocks of at most ``BLOCK_CHARS`` characters; a larger benchmark takes one scan per
-block, and the blocks' findings are merged per document.  What returns to the driver is a count
-per benchmark shingle of the block.
+executors in blocks of about ``BLOCK_CHARS`` characters; a larger benchmark takes two scans per
+block.  Each block gives the spans of the texts that it hits, under a 128-bit key of the text, and
+these few rows meet their documents at the end, so any number of blocks gives the same rows.
+What returns to the driver is a count per benchmark shingle of the block.
+
+**Words** are compared by 64-bit hashes, a window by all of its words' hashes.
 
 **Defined cases.**  Null texts have no words and are clean.  Items without words, without text or
-without id match nothing.  Repeated items count once per item id.  Empty tables are fine: without
-items, every document is clean.  With several blocks, rows with equal ids give one row.
+without id match nothing.  Repeated items count once per item id.  Every input row gives one row,
+whatever its id: rows with null or equal ids are judged by their own texts.  Empty tables are fine:
+without items, every document is clean.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches
-from lodestar.llm.wordhash import HashIndex, alphanumeric, span_hashes, split_words, text_slices
+from lodestar.llm.common import KEY, Batches, materialize, text_key
+from lodestar.llm.wordhash import MASK64, U64, HashIndex, alphanumeric, span_hashes, split_words, text_slices, window_starts
 
 WINDOW = 13
 SHINGLE = 5
 #: Characters of items that one scan of the documents carries.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 #: A document is contaminated when this share of its words is hit (as 1 / 20).
 SHARE = 20
 _WORD = alphanumeric()
-SPANS = "doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
+HIT = "n_words long, spans array<struct<begin:int,end:int>>, items array<string>"
 
 
 class Windows:
     """Distinct windows of a block of items, grouped by length, with the items that hold them."""
 
     def __init__(self, items: list[tuple[str, str]], width: int, shingle: int):
-        by_words: dict[bytes, set[str]] = {}
-        texts = pa.array([t for _, t in items], pa.string())
-        for lo, hi, data, offsets in text_slices(texts):
+        self.shingle = shingle
+        self.prefix: dict[int, tuple[HashIndex, np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By window length: the windows' word hashes (one row each), and their items as a list with bounds.
+        self.words: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[list[str], np.ndarray]] = {}
+        names = np.array([i for i, _ in items], object)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lo, hi, data, offsets in text_slices(pa.array([t for _, t in items], pa.string())):
             words = split_words(data, offsets, _WORD, lower=True)
-            for i in range(hi - lo):
-                own = words.hashes[words.first[i] : words.first[i + 1]]
-                size = min(width, len(own))
-                for at in range(len(own) - size + 1 if size else 0):
-                    by_words.setdefault(own[at : at + size].tobytes(), set()).add(items[lo + i][0])
-        self.words = [np.frombuffer(w, np.uint64) for w in sorted(by_words)]
-        self.items = [sorted(by_words[w]) for w in sorted(by_words)]
-        self.shingle = [min(shingle, len(w)) for w in self.words]
-        self.sizes = sorted(set(self.shingle))
-        self.shingles = {k: np.unique(np.concatenate([span_hashes(w, k) for w, own in zip(self.words, self.shingle) if own == k])) for k in self.sizes}
-
-    def set_order(self, counts: dict[int, np.ndarray]) -> None:
+            n = words.counts()
+            for size in np.unique(np.minimum(n[n > 0], width)).tolist():
+                at, text = window_starts(words.first, size)
+                own = np.minimum(n[text], width) == size
+                found.setdefault(size, []).append((words.hashes[at[own][:, None] + np.arange(size)], lo + text[own]))
+        for size, parts in sorted(found.items()):
+            rows = np.concatenate([w for w, _ in parts])
+            _, first, of = np.unique(np.ascontiguousarray(rows).view(f"V{8 * size}").ravel(), return_index=True, return_inverse=True)
+            pairs = sorted(set(zip(of.ravel().tolist(), names[np.concatenate([t for _, t in parts])].tolist())))
+            self.words[size] = rows[first]
+            self.items[size] = ([i for _, i in pairs], np.searchsorted([w for w, _ in pairs], np.arange(len(first) + 1)))
+
+    def shingles(self) -> dict[int, np.ndarray]:
+        """Distinct shingle hashes by shingle length."""
+        out: dict[int, list[np.ndarray]] = {}
+        for size, rows in self.words.items():
+            k = min(self.shingle, size)
+            out.setdefault(k, []).append(row_shingles(rows, k).ravel())
+        return {k: np.unique(np.concatenate(parts)) for k, parts in out.items()}
+
+    def set_order(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
         """Gives each window its prefix, the rarest shingle; ties go to the smaller hash."""
-        self.prefix: dict[int, tuple[HashIndex, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for k in self.sizes:
-            keys, window, offset = [], [], []
-            for i, (w, own) in enumerate(zip(self.words, self.shingle)):
-                if own == k:
-                    h = span_hashes(w, k)
-                    n = counts[k][np.searchsorted(self.shingles[k], h)]
-                    best = int(np.lexsort((np.arange(len(h)), h, n))[0])
-                    keys.append(h[best])
-                    window.append(i)
-                    offset.append(best)
-            order = np.argsort(np.array(keys, np.uint64), kind="stable")
-            keys = np.array(keys, np.uint64)[order]
-            distinct, start = np.unique(keys, return_index=True)
-            self.prefix[k] = (HashIndex(distinct), np.append(start, len(keys)), np.array(window)[order], np.array(offset)[order])
-        self.length = np.array([len(w) for w in self.words])
-        self.matrix = np.zeros((len(self.words), int(self.length.max(initial=1))), np.uint64)
-        for i, w in enumerate(self.words):
-            self.matrix[i, : len(w)] = w
-
-    def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, window, text) of every occurrence in a slice of texts."""
-        out = []
-        for k, (index, bounds, window, offset) in self.prefix.items():
-            at, entry = index.find(span_hashes(hashes, k))
+        self.prefix = {}
+        for size, rows in self.words.items():
+            k = min(self.shingle, size)
+            h = row_shingles(rows, k)
+            n = counts[k][1][np.searchsorted(counts[k][0], h)]
+            best = np.where(n == n.min(axis=1, keepdims=True), h, U64(MASK64)).argmin(axis=1)
+            keys = h[np.arange(len(h)), best]
+            order = np.argsort(keys, kind="stable")
+            distinct, start = np.unique(keys[order], return_index=True)
+            self.prefix[size] = (HashIndex(distinct), np.append(start, len(keys)), order, best[order])
+
+    def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, start, window, text) of every occurrence in a slice of texts."""
+        spans = {k: span_hashes(hashes, k) for k in {min(self.shingle, size) for size in self.prefix}}
+        for size, (index, bounds, window, offset) in self.prefix.items():
+            at, entry = index.find(spans[min(self.shingle, size)])
             n = bounds[entry + 1] - bounds[entry]
             pick = np.repeat(bounds[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             win, start = window[pick], np.repeat(at, n) - offset[pick]
             text = np.searchsorted(first, np.repeat(at, n), side="right") - 1
-            fits = (start >= first[text]) & (start + self.length[win] <= first[text + 1])
+            fits = (start >= first[text]) & (start + size <= first[text + 1])
             start, win, text = start[fits], win[fits], text[fits]
             same = np.ones(len(start), bool)
-            for j in range(self.matrix.shape[1]):
-                inside = j < self.length[win]
-                same &= ~inside | (hashes[np.minimum(start + j, len(hashes) - 1)] == self.matrix[win, j])
-            out.append((start[same], win[same], text[same]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+            for j in range(size):
+                same &= hashes[start + j] == self.words[size][win, j]
+            yield size, start[same], win[same], text[same]
+
 
+def row_shingles(rows: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the ``k``-word shingles of each row."""
+    n, size = rows.shape
+    at = (np.arange(n) * size)[:, None] + np.arange(size - k + 1)
+    return span_hashes(rows.ravel(), k)[at]
 
-def shingle_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
-    """Occurrences of each benchmark shingle in all documents."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(windows.shingles)
+
+def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(hashes, occurrences in all documents) of each benchmark shingle, by shingle length."""
+    held = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def run(batches: Batches) -> Batches:
         index = {k: HashIndex(h) for k, h in held.value.items()}
@@ -124,26 +138,31 @@ def shingle_counts(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int32)), pa.array(used.astype(np.int32)), pa.array(n[used])], names=["k", "i", "n"])
 
     rows = docs.select("text").mapInArrow(run, "k int, i int, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).toPandas()
-    out = {k: np.zeros(len(h), np.int64) for k, h in windows.shingles.items()}
+    out = {k: np.zeros(len(h), np.int64) for k, h in shingles.items()}
     for k, part in rows.groupby("k"):
         out[k][part["i"].to_numpy()] = part["n"].to_numpy()
-    return out
+    return {k: (h, out[k]) for k, h in shingles.items()}
 
 
 def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, n_words, spans, items): merged ranges of hit words, and items found."""
+    """``docs(text, ...)`` to its other columns with n_words, spans (merged ranges of hit words) and items found."""
     held = docs.sparkSession.sparkContext.broadcast(windows)
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Batches) -> Batches:
         own = held.value
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(0)):
                 words = split_words(data, offsets, _WORD, lower=True)
-                start, win, text = own.occurrences(words.hashes, words.first)
                 n = len(words.starts)
                 edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.subtract.at(edge, start + own.length[win] if len(win) else start, 1)
+                items: list[set[str]] = [set() for _ in range(hi - lo)]
+                for size, start, win, text in own.occurrences(words.hashes, words.first):
+                    np.add.at(edge, start, 1)
+                    np.subtract.at(edge, start + size, 1)
+                    names, bounds = own.items[size]
+                    for t, w in set(zip(text.tolist(), win.tolist())):
+                        items[t].update(names[bounds[w] : bounds[w + 1]])
                 hit = np.cumsum(edge[:-1]) > 0
                 opens, closes = hit.copy(), hit.copy()
                 if n:
@@ -154,41 +173,42 @@ def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
                 begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
                 owner = np.searchsorted(words.first, begin, side="right") - 1
                 spans = pa.StructArray.from_arrays([pa.array((begin - words.first[owner]).astype(np.int32)), pa.array((end - words.first[owner]).astype(np.int32))], names=["begin", "end"])
-                items: list[list[str]] = [[] for _ in range(hi - lo)]
-                for t, w in set(zip(text.tolist(), win.tolist())):
-                    items[t] += own.items[w]
+                span_at = pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(words.counts().astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)), spans), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(words.counts().astype(np.int64)), pa.ListArray.from_arrays(span_at, spans), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=[*others, "n_words", "spans", "items"],
                 )
 
-    return docs.mapInArrow(run, SPANS)
+    return docs.select("text", *others).mapInArrow(run, ", ".join([f"`{c}` long" for c in others] + [HIT]))
 
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", width: int = WINDOW, shingle: int = SHINGLE, block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(doc_id, n_words, spans, items, n_hit, contaminated) of every document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, n_words, spans, items, n_hit, contaminated) of every document, with the key of its text."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *text_key(F.col(text_col)))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-chars // block_chars))
-    parts = []
-    for b in range(n_blocks):
+
+    def windows_of(b: int) -> Windows:
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == b).collect()
         windows = Windows([(r["item"], r["text"]) for r in rows], width, shingle)
-        windows.set_order(shingle_counts(docs, windows) if windows.words else {})
-        parts.append(find_windows(docs, windows))
-    found = parts[0]
-    if n_blocks > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+        windows.set_order(shingle_counts(docs, windows.shingles()) if windows.words else {})
+        return windows
+
+    if n_blocks == 1:
+        found = find_windows(docs, windows_of(0))
+    else:
+        hits = [materialize(find_windows(docs.drop("doc_id"), windows_of(b)).where("size(spans) > 0").drop("n_words").distinct(), "block-hits") for b in range(n_blocks)]
+        merged = materialize(
+            reduce(DataFrame.unionByName, hits).groupBy(*KEY).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")),
+            "hits",
+        )
+        plain = find_windows(docs, Windows([], width, shingle)).drop("spans", "items")
+        none = lambda c: F.coalesce(c, F.array().cast(dict(merged.dtypes)[c])).alias(c)
+        found = plain.join(merged, KEY, "left").select("doc_id", *KEY, "n_words", none("spans"), none("items"))
     hit = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.end - greatest(a.to, s.begin)), 'to', greatest(a.to, s.end)), a -> a.n)")
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
@@ -196,6 +216,3 @@ def decontaminate(
 def items_digest(items) -> F.Column:
     """SHA-256 of the comma-joined sorted ids."""
     return F.sha2(F.array_join(items, ","), 256)
-
-
-EMPTY_ITEMS = hashlib.sha256(b"").hexdigest()

@@ -9,8 +9,10 @@ keeps what it has encoded.  A text is cut into *units* that the tokenizer can ne
 * any other word is one unit and left whole to the library.
 
 The ids of a text are the ids of its units in order; ``tests/llm/test_encode.py`` holds this
-against the library on whole texts.  The cache is bounded by ``CACHE_UNITS``; it only saves
-time and is emptied when full.
+against the library on whole texts.  A text that holds the string of a special token is given to
+the library whole; with ``plain`` such strings are ordinary text, so no text yields a special id.
+The cache takes about 28 bytes a unit and is bounded by ``CACHE_UNITS``; it only saves time and is
+emptied when full.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import numpy as np
 from lodestar.llm.wordhash import U64, space_separated, split_words
 
 #: Units a worker remembers.
-CACHE_UNITS = 3_000_000
-_SLOT_BITS = 21
+CACHE_UNITS = 2_000_000
+_SLOT_BITS = 20
 
 
 def byte_classes() -> np.ndarray:
@@ -44,23 +46,24 @@ _SPACE = space_separated()
 class Encoder:
     """Encodes slices of texts; one per worker and tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = plain
+        self.special = [] if plain else [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.vocab_size = self.library.get_vocab_size()
         self._reset()
 
     def _reset(self) -> None:
         self.keys = np.empty(0, U64)
-        self.entry = np.empty(0, np.int64)
-        self.begin = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.entry = np.empty(0, np.int32)
+        self.begin = np.empty(0, np.int32)
+        self.count = np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint32)
         self.slot_key = np.zeros(1 << _SLOT_BITS, U64)
-        self.slot_entry = np.full(1 << _SLOT_BITS, -1, np.int64)
+        self.slot_entry = np.full(1 << _SLOT_BITS, -1, np.int32)
 
     def _units(self, data: np.ndarray, offsets: np.ndarray):
         """Starts, ends and hashes of units, and the first unit of each text."""
@@ -108,9 +111,9 @@ class Encoder:
             done = self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False)
             for i, e in zip(rest, done):
                 ids[i] = e.ids
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.pool) + np.cumsum(count) - count
-        new = np.arange(len(self.begin), len(self.begin) + len(ids))
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        begin = (len(self.pool) + np.cumsum(count) - count).astype(np.int32)
+        new = np.arange(len(self.begin), len(self.begin) + len(ids), dtype=np.int32)
         self.pool = np.concatenate([self.pool, np.fromiter((x for one in ids for x in one), np.uint32, int(count.sum()))])
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
         at = np.searchsorted(self.keys, hashes)
@@ -118,9 +121,34 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts back to back, and the number of ids of each text."""
+        ids, per_text = self._encode(data, offsets)
+        ids, per_text = self._with_special(data, offsets, ids, per_text)
+        if end_id is None:
+            return ids, per_text
+        out = np.full(len(ids) + len(per_text), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(per_text)), per_text)] = ids
+        return out, per_text + 1
+
+    def _with_special(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replaces the ids of texts in which a special token's string occurs."""
+        raw, texts = data.tobytes(), set()
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                texts.add(text)
+                at = raw.find(s, max(at + 1, int(offsets[text + 1]) - len(s) + 1))
+        if not texts:
+            return ids, per_text
+        parts = np.split(ids, np.cumsum(per_text)[:-1])
+        for t in texts:
+            parts[t] = np.array(self.library.encode(raw[offsets[t] : offsets[t + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, hashes, first = self._units(data, offsets)
         slot = (hashes >> U64(64 - _SLOT_BITS)).astype(np.int64)
-        entry = np.where(self.slot_key[slot] == hashes, self.slot_entry[slot], -1)
+        entry = np.where(self.slot_key[slot] == hashes, self.slot_entry[slot], np.int32(-1))
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             wanted, one, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
@@ -131,21 +159,16 @@ class Encoder:
                 size = len(self.keys)
                 self._learn(data, starts[pick], ends[pick], wanted[lacks])
                 if len(self.keys) < size:  # the cache was emptied; entries found before are void
-                    return self.encode(data, offsets, end_id)
+                    return self._encode(data, offsets)
                 at = np.searchsorted(self.keys, wanted)
             found = self.entry[at]
             entry[missing] = found[back]
             slot = (wanted >> U64(64 - _SLOT_BITS)).astype(np.int64)
             self.slot_key[slot], self.slot_entry[slot] = wanted, found
-        count = self.count[entry] if len(entry) else np.empty(0, np.int64)
+        count = self.count[entry].astype(np.int64) if len(entry) else np.empty(0, np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.pool[np.repeat(self.begin[entry] - total[:-1], count) + np.arange(total[-1])] if len(entry) else np.empty(0, np.uint32)
-        per_text = np.diff(total[first])
-        if end_id is None:
-            return ids, per_text
-        out = np.full(len(ids) + len(per_text), end_id, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(per_text)), per_text)] = ids
-        return out, per_text + 1
+        return ids, np.diff(total[first])
 
 
 def split_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -162,6 +185,6 @@ def split_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return h
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=2)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    return Encoder(path, plain)

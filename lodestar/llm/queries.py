@@ -23,8 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.with_digest(docs, exact_dedup.exact_groups(docs))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""
@@ -47,11 +46,8 @@ def tokenizer_path() -> str:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are written as flat files closed by <|endoftext|>, which no text encodes to."""
-    end_id, path = 49407, scratch_path(spark, "flat")
-    token_counts.write_flat(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id)
-    places = token_counts.scan(token_counts.read_flat(spark, path), end_id)
-    return token_counts.document_order(spark, path).join(places, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    """Documents are written as flat files of two-byte ids closed by <|endoftext|>, which plain text never encodes to."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "flat"), tokenizer_path(), 49407, id_bytes=2)
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +56,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", suffix_tree.file_block().alias("part"))
-    return suffix_tree.score_documents(docs, block=F.col("part"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("nth"))
+    return suffix_tree.score_documents(docs, place=("file", "nth"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,14 +13,14 @@ own hashes.  A window left out has an anchor, and so a word sequence, that no ot
 has: nothing is lost, at any size.
 
 **Scale.**  Counting is a min/max with map-side combining, so a window that a third of all
-documents hold costs a row per task.  Results go back to documents by joins that adaptive
-execution can split, and a document's list is as long as the document at most.  Texts are
+documents hold costs a row per task.  Results go back to rows by (id, hash of
+the text), in joins that adaptive execution can split; a row's list is as long as its text at most.  Texts are
 shuffled only for documents that have a shared anchor; their ids select them by a broadcast of
 bounded size, or by an ordinary join above that bound.
 
 **Defined cases.**  Null and empty texts have no words, texts shorter than a window keep all.
-A repeated id counts as one document.  A row with a null id keeps its words and removes none
-elsewhere.  An empty table gives no rows; other columns are ignored.
+Rows with the same id are one document as far as "a smaller id" goes, and each loses its own words: what
+they share among themselves stays.  A row with a null id keeps its words and removes none elsewhere.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,11 +60,11 @@ def _distinct(*columns: np.ndarray) -> np.ndarray:
 
 
 def anchor_table(docs: DataFrame, width: int = WIDTH, span: int = ANCHOR_WORDS) -> DataFrame:
-    """(anchor, doc_id), once per document and anchor."""
+    """(anchor, doc_id, key) of ``docs(doc_id, text, key)``, once per row and anchor."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for lo, _, data, offsets in text_slices(batch.column(1)):
                 words = split_words(data, offsets, _SPACE, lower=False)
                 _, text, anchor = _anchors(words, width, span)
@@ -72,21 +72,22 @@ def anchor_table(docs: DataFrame, width: int = WIDTH, span: int = ANCHOR_WORDS)
                 run_start[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
                 text, anchor = text[run_start], anchor[run_start]
                 pick = _distinct(anchor, text)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[pick].view(np.int64)), pa.array(ids[lo + text[pick]])], names=["anchor", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[pick].view(np.int64)), pa.array(ids[lo + text[pick]]), pa.array(keys[lo + text[pick]])], names=["anchor", "doc_id", "key"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long")
+    return docs.mapInArrow(run, "anchor long, doc_id long, key long")
 
 
 def window_table(docs: DataFrame, width: int = WIDTH, span: int = ANCHOR_WORDS) -> DataFrame:
-    """(h1, h2, doc_id, pos) of windows whose anchor is among the document's ``anchors``.
+    """(h1, h2, doc_id, key, pos) of windows whose anchor is among the ``anchors`` of ``docs(doc_id, text, anchors, key)``.
 
-    Once per document and window; pos is the first start.
+    Once per row and window; pos is the first start.
     """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted, bounds = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            wanted = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            bounds = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 words = split_words(data, offsets, _SPACE, lower=False)
                 starts, text, anchor = _anchors(words, width, span)
@@ -103,11 +104,14 @@ def window_table(docs: DataFrame, width: int = WIDTH, span: int = ANCHOR_WORDS)
                 h1, h2 = span_hashes(words.hashes, width, 0)[starts], span_hashes(words.hashes, width, 1)[starts]
                 pick = _distinct(h2, h1, text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64)), pa.array(ids[lo + text[pick]]), pa.array((starts[pick] - words.first[text[pick]]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "pos"],
-                )
+                    [
+                        pa.array(h1[pick].view(np.int64)), pa.array(h2[pick].view(np.int64)), pa.array(ids[lo + text[pick]]), pa.array(keys[lo + text[pick]]),
+                        pa.array((starts[pick] - words.first[text[pick]]).astype(np.int32)),
+                    ],
+                    names=["h1", "h2", "doc_id", "key", "pos"],
+                )
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, pos int")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, key long, pos int")
 
 
 def apply_removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -158,22 +162,20 @@ def apply_removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, span: int = ANCHOR_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, spans (removed word ranges), kept (UTF-8)."""
-    span = min(span, width)
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    span, row = min(span, width), ["doc_id", "key"]
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("key"))
     known = every.where("doc_id IS NOT NULL")
     anchors = materialize(anchor_table(known, width, span), "anchors")
     twice = F.min("doc_id") < F.max("doc_id")
     shared = materialize(anchors.groupBy("anchor").agg(twice.alias("t")).where("t").select("anchor"), "shared-anchors")
-    lists = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchor-lists")
-    some = known.join(ids_if_small(lists.select("doc_id")), "doc_id", "left_semi").join(lists, "doc_id").select("doc_id", "text", "anchors")
+    lists = materialize(anchors.join(shared, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors")), "anchor-lists")
+    some = known.join(ids_if_small(lists.select(*row)), row, "left_semi").join(lists, row).select("doc_id", "text", "anchors", "key")
     windows = window_table(some, width, span)
     firsts = materialize(
         windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), twice.alias("t")).where("t").select("h1", "h2", "first_id"), "shared-windows"
     )
-    removed = materialize(
-        windows.join(firsts, ["h1", "h2"]).where("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("pos").alias("removed")), "removed"
-    )
-    ids = ids_if_small(removed.select("doc_id"))
-    whole = every.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("removed"))
-    cut = every.join(ids, "doc_id", "left_semi").join(removed, "doc_id").select("doc_id", "text", "removed")
+    removed = materialize(windows.join(firsts, ["h1", "h2"]).where("first_id < doc_id").groupBy(*row).agg(F.collect_set("pos").alias("removed")), "removed")
+    ids = ids_if_small(removed.select(*row))
+    whole = every.join(ids, row, "left_anti").select("doc_id", "text", F.lit(None).cast("array<int>").alias("removed"))
+    cut = every.join(ids, row, "left_semi").join(removed, row).select("doc_id", "text", "removed")
     return apply_removals(whole, width).unionByName(apply_removals(cut, width))

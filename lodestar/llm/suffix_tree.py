@@ -14,21 +14,24 @@ A state's distribution is smoothed with its parent's (weight ``SMOOTHING``), the
 uniform one.  Each symbol is scored by the longest state that is a suffix of what precedes it;
 the score is the log10 probability of the whole text with its end.
 
-**Scale.**  Words are counted per block of documents, so a block sends each of its words once,
-however often it holds it; counts come back to blocks the same way and meet the block's texts in
-one cogroup of bounded size.  The tree is grown in two parts.  Contexts of up to ``HEAD`` bytes
-are bounded by the alphabet, pass through the driver and are sent to all tasks.  Longer ones are
-spread over tasks by their last ``HEAD`` bytes: contexts that end alike are one subtree, whose
-runs, counted per block, meet in one group; it grows the subtree and answers each block with
-the probabilities of the block's own runs.  No task or driver holds the whole tree.
+**Scale.**  Rows are dealt to blocks of about ``BLOCK_BYTES`` of text by their place in a file, long texts to
+blocks of their own size class, so a block is bounded in bytes and rows are read in order.
+Words and runs are counted per block, so a block sends each of its words and runs once,
+however often it holds them; counts come back to blocks the same way and meet the block's texts in
+one cogroup.  The tree is grown in two parts.  Contexts of up to ``HEAD`` bytes are bounded by the
+alphabet, pass through the driver and are sent to all tasks.  Longer ones are spread over tasks by
+their last ``HEAD + 1`` bytes: contexts that end alike are one subtree, whose runs, counted per block,
+meet in one group; it grows the subtree and answers each block with the probabilities of the
+block's own runs.  No task or driver holds the whole tree.
 
 **Defined cases.**  Null and empty texts are one end token.  A null id counts as the id ''.
 Rows are scored each on its own; repeated rows count as often as they occur.  Without training
-documents c, N and V are 0 and the tree is the uniform distribution.
+documents c, N and V are 0 and the tree is the uniform distribution.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import Batches, materialize
-from lodestar.llm.wordhash import U64, joined, mix, space_separated, split_words, text_slices
+from lodestar.llm.wordhash import MASK64, U64, mix, space_separated, split_words, text_slices
 
 DEPTH = 6
 #: Bytes of context up to which states are held by the driver; longer ones stay distributed.
@@ -46,50 +49,62 @@ HEAD = 3
 MIN_COUNT = 8
 MIN_DIVERGENCE = 0.005
 SMOOTHING = 2.0
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 1 << 25
 _SPACE = space_separated()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_SLOTS = 20
 
 
 def fold_number(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def spaced_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's words joined by one space, in lower case: bytes, bounds of the texts, word counts."""
+    inside = _SPACE[data]
+    begins = inside.copy()
+    if len(data):
+        cut = np.zeros(len(data) + 1, bool)
+        cut[offsets] = True
+        begins[1:] &= ~inside[:-1] | cut[1:-1]
+    starts = np.flatnonzero(begins)
+    first = np.searchsorted(starts, offsets)
+    later = np.ones(len(starts), bool)  # words that follow another one of their text
+    later[first[:-1][first[1:] > first[:-1]]] = False
+    gap = starts[later] - 1
+    out, keep = _LOWER[data], inside
+    out[gap], keep[gap] = 0x20, True
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets], np.diff(first)
+
+
 def symbols(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context << 8 | symbol of every scored place, bounds of the texts among them, word counts)."""
-    words = split_words(data, offsets, _SPACE, lower=True)
-    body, cut = joined(words, np.ones(len(words.starts), bool))
+    body, cut, n_words = spaced_bytes(data, offsets)
     n = len(cut) - 1
-    out = np.full(len(body) + n * (depth + 1), 0x0A, np.uint8)
-    place = np.arange(len(body)) + np.repeat(np.arange(n) * (depth + 1) + depth, np.diff(cut))
-    out[place] = _LOWER[body]
-    scored = np.ones(len(out), bool)
+    out = np.full(8 + len(body) + n * (depth + 1), 0x0A, np.uint8)
+    out[np.arange(len(body)) + np.repeat(8 + np.arange(n) * (depth + 1) + depth, np.diff(cut))] = body
+    # the eight bytes that end with a place, as one number
+    key = np.ndarray((len(out) - 8,), ">u8", out, 1, (1,)).astype(U64) & U64((1 << (8 * (depth + 1))) - 1)
+    scored = np.ones(len(key), bool)
     begin = cut[:-1] + np.arange(n) * (depth + 1)
     for j in range(depth):
         scored[begin + j] = False
-    at = np.flatnonzero(scored)
-    key = np.zeros(len(at), U64)
-    for j in range(depth, -1, -1):
-        key = (key << U64(8)) | out[at - j].astype(U64)
-    return key, cut + np.arange(n + 1), words.counts()
+    return key[scored], cut + np.arange(n + 1), n_words
 
 
-def run_counts(docs: DataFrame, depth: int = HEAD) -> DataFrame:
-    """(run, n): how often each context with its next symbol occurs in ``docs(text)``."""
+def run_counts(packed: DataFrame, depth: int) -> DataFrame:
+    """(run, n): training counts of the runs of up to ``depth`` symbols of context, of ``block_runs``."""
 
     def run(batches: Batches) -> Batches:
-        sums = Sums()
-        rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["run", "n"])
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                sums.add(*np.unique(symbols(data, offsets, depth)[0], return_counts=True))
-                if sums.full():
-                    yield rows(*sums.take())
-        yield rows(*sums.take())
+            for r in batch.to_pylist():
+                keys, n = np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64) & U64((1 << (8 * (depth + 1))) - 1), unpack(r["n"], r["size"], np.int64)
+                sums = Sums()
+                sums.add(keys[n > 0], n[n > 0])
+                keys, n = sums.take()
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["run", "n"])
 
-    return docs.select("text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return packed.select("size", "runs", "n").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 class Sums:
@@ -125,6 +140,36 @@ class Sums:
         return out
 
 
+class RunSums:
+    """Distinct runs with their counts in training; places are gathered and sorted many at a time."""
+
+    def __init__(self, step: int = 4_000_000):
+        self.sums, self.raw, self.waiting, self.step = Sums(), [], 0, step
+
+    def add(self, runs: np.ndarray, train: np.ndarray) -> None:
+        self.raw.append(runs << U64(1) | train)
+        self.waiting += len(runs)
+        if self.waiting > self.step:
+            self.fold()
+
+    def fold(self) -> None:
+        if self.waiting:
+            x = np.sort(np.concatenate(self.raw))
+            keys = x >> U64(1)
+            new = np.ones(len(x), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = np.flatnonzero(new)
+            self.sums.add(keys[first], np.add.reduceat(x & U64(1), first).astype(np.int64))
+        self.raw, self.waiting = [], 0
+
+    def size(self) -> int:
+        return self.sums.size + self.waiting
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        return self.sums.take()
+
+
 @dataclass
 class Tree:
     """Kept states by depth.  ``root`` has 256 probabilities; each level has its contexts, the
@@ -206,18 +251,29 @@ def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def by_block(blocks: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+    """Each block of consecutive texts with its places, which lie between ``bounds``."""
+    own = np.unique(blocks).tolist()
+    if len(own) == 1:
+        yield own[0], slice(None)
+    elif own:
+        of = np.repeat(blocks, np.diff(bounds))
+        for block in own:
+            yield block, of == block
+
+
 def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
     """Distinct runs of each block of ``docs(block, train, text)`` with their training counts, by bucket.
 
-    A bucket holds all runs whose last ``HEAD`` bytes of context are the same.
+    A bucket holds all runs whose last ``HEAD + 1`` bytes of context are the same.
     """
 
     def run(batches: Batches) -> Batches:
-        held: dict[int, Sums] = {}
+        held: dict[int, RunSums] = {}
 
         def rows(block: int) -> pa.RecordBatch:
             keys, n = held.pop(block).take()
-            bucket = (mix(keys >> U64(8) & U64((1 << (8 * HEAD)) - 1)) % U64(buckets)).astype(np.int64)
+            bucket = (mix(keys >> U64(8) & U64((1 << (8 * (HEAD + 1))) - 1)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keys, n, bucket = keys[order], n[order], bucket[order]
             own, first = np.unique(bucket, return_index=True)
@@ -231,15 +287,13 @@ def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
             )
 
         for batch in batches:
-            blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(U64)
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 keys, cut, _ = symbols(data, offsets, depth)
-                text = np.repeat(np.arange(lo, hi), np.diff(cut))
-                for block in np.unique(blocks[lo:hi]).tolist():
-                    own = blocks[text] == block
-                    u, back = np.unique(keys[own], return_inverse=True)
-                    held.setdefault(block, Sums(2_000_000)).add(u, np.bincount(back, weights=train[text[own]], minlength=len(u)).astype(np.int64))
-                while len(held) > 8 or sum(x.size for x in held.values()) > 6_000_000:
+                of = np.repeat(train[lo:hi], np.diff(cut))
+                for block, own in by_block(blocks[lo:hi], cut):
+                    held.setdefault(block, RunSums()).add(keys[own], of[own])
+                while len(held) > 8 or sum(x.size() for x in held.values()) > 8_000_000:
                     yield rows(next(iter(held)))
         for block in list(held):
             yield rows(block)
@@ -265,36 +319,38 @@ def run_scores(packed: DataFrame, head: Tree, depth: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(score, "block long, size long, runs binary, value binary")
 
 
-class Scorer:
-    """log10 probabilities of symbol places; runs seen before come from a slot table."""
+class Table:
+    """Values of distinct keys, looked up by hash; keys that lose their slot go to a smaller table."""
 
-    def __init__(self, runs: np.ndarray, values: np.ndarray):
-        self.runs, self.values = runs, values
-        self.key = np.full(1 << _SLOTS, U64((1 << 64) - 1))
-        self.value = np.zeros(1 << _SLOTS)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, level: int = 0):
+        self.bits, self.salt = max(8, len(keys).bit_length()), U64(0x9E3779B97F4A7C15 * level & MASK64)
+        self.keys, self.values = np.zeros(1 << self.bits, U64), np.zeros(1 << self.bits, values.dtype)
+        self.used = np.zeros(1 << self.bits, bool)
+        slot = self._slots(keys)
+        self.keys[slot], self.values[slot], self.used[slot] = keys, values, True
+        lost = self.keys[slot] != keys
+        self.rest = Table(keys[lost], values[lost], level + 1) if lost.any() else None
 
-    def __call__(self, runs: np.ndarray) -> np.ndarray:
-        slot = (mix(runs) >> U64(64 - _SLOTS)).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != runs)
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys ^ self.salt) >> U64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, 0 for keys that are not there."""
+        slot = self._slots(keys)
+        out = self.values[slot]
+        miss = np.flatnonzero((self.keys[slot] != keys) | ~self.used[slot])
         if len(miss):
-            u, back = np.unique(runs[miss], return_inverse=True)
-            p = self.values[np.searchsorted(self.runs, u)]
-            out[miss] = p[back]
-            slot = (mix(u) >> U64(64 - _SLOTS)).astype(np.int64)
-            self.key[slot], self.value[slot] = u, p
+            out[miss] = self.rest.get(keys[miss]) if self.rest else 0
         return out
 
 
 def merged(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted runs and values of a block's rows of ``run_scores``."""
+    """Runs and values of a block's rows of ``run_scores``."""
     runs, values = [np.empty(0, U64)], [np.empty(0, np.float32)]
     for r in packs.select(["size", "runs", "value"]).to_pylist():
         runs.append(np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64))
         values.append(unpack(r["value"], r["size"], np.float32))
-    keys = np.concatenate(runs)
-    order = np.argsort(keys)
-    return keys[order], np.concatenate(values)[order]
+    return np.concatenate(runs), np.concatenate(values)
 
 
 def block_words(docs: DataFrame) -> DataFrame:
@@ -311,12 +367,10 @@ def block_words(docs: DataFrame) -> DataFrame:
             blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 words = split_words(data, offsets, _SPACE, lower=True)
-                text = np.repeat(np.arange(lo, hi), words.counts())
-                for block in np.unique(blocks[lo:hi]).tolist():
-                    own = blocks[text] == block
+                of = np.repeat(train[lo:hi], words.counts())
+                for block, own in by_block(blocks[lo:hi], words.first):
                     w, back = np.unique(words.hashes[own], return_inverse=True)
-                    k = np.bincount(back, weights=train[text[own]], minlength=len(w)).astype(np.int64)
-                    held.setdefault(block, Sums(500_000)).add(w, k)
+                    held.setdefault(block, Sums(500_000)).add(w, np.bincount(back, weights=of[own], minlength=len(w)).astype(np.int64))
                 while len(held) > 8 or sum(x.size for x in held.values()) > 4_000_000:
                     yield rows(next(iter(held)))
         for block in list(held):
@@ -328,49 +382,58 @@ def block_words(docs: DataFrame) -> DataFrame:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, block: Column | None = None, depth: int = DEPTH) -> DataFrame:
+def blocks_of(rows: int, size: int, text: Column, file: Column, nth: Column, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Block of a row by its place in a file: as many neighbours as have about ``block_bytes``.
+
+    ``rows`` and ``size`` (bytes of text) are those of the whole table.  Texts of more than four times the
+    mean length are dealt by size class, the fewer to a block the longer they are.
+    """
+    mean = max(1.0, size / max(1, rows))
+    per = max(1, int(block_bytes / mean))
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(mean)) / 2)).cast("int")
+    level = F.coalesce(level, F.lit(0))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(per) / F.pow(F.lit(4.0), level)).cast("long"))
+    return F.xxhash64(file, level, F.floor(nth / step))
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, place: tuple[str, str] | None = None, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of all documents; those whose fold is 0 are held out of training.
 
-    ``block`` groups rows whose words are looked up together (some thousand rows each); rows of
-    a file should be given by file and row number, which keeps a task's blocks few.  The default
-    is a hash of the id into as many blocks as the table needs.
+    ``place`` names the columns that hold a row's file and its number there, by which rows are dealt
+    to blocks, so that a task has few of them.  The default is a hash of id and text.
     """
-    spark = docs.sparkSession
-    if block is None:
-        block = F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-docs.count() // BLOCK_ROWS))))
-    fold = fold_number(id_col, folds)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (fold != 0).alias("train"),
-        block.cast("long").alias("block"),
-    )
+    train = fold_number(id_col, folds) != 0
+    text = F.col(text_col)
+    s = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("bytes"), F.count(F.when(train, 1)).alias("train")).first()
+    if place:
+        block = blocks_of(s["rows"], s["bytes"], text, F.col(place[0]), F.col(place[1]), block_bytes)
+    else:
+        block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(1, -(-s["bytes"] // block_bytes))))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), train.alias("train"), block.alias("block"))
+    ends, buckets = s["train"], max(16, -(-s["bytes"] // (block_bytes // 2)))
     words = materialize(block_words(rows), "block-words")
     counts = materialize(words.groupBy("word").agg(F.sum("k").alias("c")).where("c > 0"), "word-counts")
-    ends = rows.where("train").count()
     s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = s["n"] + ends, s["v"] + (ends > 0)
-    head = grow(materialize(run_counts(rows.where("train"), min(HEAD, depth)), "symbol-runs"), min(HEAD, depth))
-    packed = block_runs(rows, depth, max(8, words.select("block").distinct().count()))
+    packed = materialize(block_runs(rows, depth, buckets), "block-runs", "uncompressed")
+    head = grow(materialize(run_counts(packed, min(HEAD, depth)), "symbol-runs"), min(HEAD, depth))
     answers = words.select("block", "word").join(counts, "word").unionByName(run_scores(packed, head, depth), allowMissingColumns=True)
 
     def score(part: pa.Table, known: pa.Table) -> pa.Table:
-        packs = known.filter(pc.is_valid(known.column("runs")))
-        scorer = Scorer(*merged(packs))
+        runs = Table(*merged(known.filter(pc.is_valid(known.column("runs")))))
         known = known.filter(pc.is_valid(known.column("word")))
-        w = known.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(w)
-        w, c = w[order], known.column("c").to_numpy()[order]
+        word_counts = Table(known.column("word").to_numpy().view(np.uint64), known.column("c").to_numpy().astype(np.int64))
+        del known
         out = []
         floor = np.log10(n_train + 0.1 * (v_train + 1))
-        texts = part.column("text").combine_chunks()
-        for lo, hi, data, offsets in text_slices(texts):
+        for lo, hi, data, offsets in text_slices(part.column("text").combine_chunks()):
             tokens = split_words(data, offsets, _SPACE, lower=True)
-            at, has = lookup(w, tokens.hashes)
-            n = np.where(has, c[at] if len(c) else 0, 0)
+            n = word_counts.get(tokens.hashes)
             term = np.concatenate([[0.0], np.cumsum(np.log10(n + 0.1) - floor)])
             found = np.concatenate([[0], np.cumsum(n > 0)])
             base = term[tokens.first[1:]] - term[tokens.first[:-1]] + np.log10(ends + 0.1) - floor
             key, cut, _ = symbols(data, offsets, depth)
-            value = np.add.reduceat(scorer(key), cut[:-1])
+            value = np.add.reduceat(runs.get(key).astype(np.float64), cut[:-1])
             out.append((lo, hi, tokens.counts() + 1, found[tokens.first[1:]] - found[tokens.first[:-1]] + (ends > 0), base, value))
         cat = lambda i: np.concatenate([x[i] for x in out])
         return pa.table(
@@ -382,8 +445,3 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return rows.select("block", "doc_id", "train", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
-
-
-def file_block(rows: int = BLOCK_ROWS) -> Column:
-    """Block of a row of a file: the file and the row's number divided by ``rows``."""
-    return F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}"))

@@ -1,114 +1,136 @@
 """Token counts of documents in flat token files that have no index.
 
-A flat file is a run of token ids in which an end-of-document id closes each document; nothing
-says where documents begin.  Files are read in blocks of ids that ignore documents.  Each block
-is searched for the end id in one vectorised comparison; a prefix scan over the block
-summaries (ids, end ids, ids after the last end) then gives each block the place and the
+A flat file is a run of little-endian token ids in which an end-of-document id closes each document;
+nothing says where documents begin.  Files are read in blocks of ids that ignore documents.
+Each block is searched for the end id in one vectorised comparison; a prefix scan over the
+block summaries (ids, end ids, last end) then gives each block the place and the
 length of the document that runs into it.
 
-Scale: the search is per block with no shuffle of ids; the scan sees one small row per block and
-is done per file.  Output is one row per document.
+**Writing.**  ``write_flat`` writes such files with Spark's own text sink: a row is a document's ids as raw
+bytes, and the line separator is the end id.  So files go to any store that Spark writes to.
+Texts are encoded as plain text: a text that spells a special token gets ordinary ids, so the end id
+can only close documents.  An end id that texts do encode to is refused.
 
-Defined cases: ids after the last end id of a file are a document with ``closed`` false; an
-empty document (two end ids in a row) has one token; empty files give no rows.
+**Reading.**  Files that tasks can open (a shared mount) are read by ranges, whatever their size.  In
+stores that only Spark reads, a file is one row of at most 2 GB and is cut into blocks in its task.
+
+**Scale.**  The search has no shuffle of ids; the prefix scan sees one small row per block and is done
+per file.  Output is one row per document.
+
+**Defined cases.**  Ids after the last end id of a file are a document with ``closed`` false; an
+empty document (two end ids in a row, or the text is null or empty) has one token; empty files give no rows.
+Repeated rows are written as often as they occur; ids of documents are passed on as they
+are, null ones too.  An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches
+from lodestar.llm.common import Batches, materialize
 from lodestar.llm.encode import encoder
+from lodestar.llm.token_files import binary_rows
 from lodestar.llm.wordhash import text_slices
 
 BLOCK_IDS = 1 << 20
-BLOCK_SCHEMA = "file int, kind string, block int, payload binary"
+#: Bytes of files that one task searches.
+TASK_BYTES = 1 << 26
+KINDS = {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}
+SUMMARY = "file string, block int, n long, ends array<long>"
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
-    """Token ids of ``docs(doc_id, text)``, a file per task, cut every ``block_ids`` ids.
+def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_bytes: int = 4) -> DataFrame:
+    """Writes the flat files of ``docs(doc_id, text)`` to ``path``, and returns (file, ordinal, doc_id).
 
-    Rows of kind ``ids`` are the file; rows of kind ``docs`` list the documents' own ids in
-    order, without places.
+    ``file`` is the number in a file's name, ``ordinal`` the place of the document in it.
     """
+    kind = KINDS[id_bytes]
 
     def run(batches: Batches) -> Batches:
-        from pyspark import TaskContext
-
-        file, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        number = {"ids": 0, "docs": 0}
+        enc = encoder(tokenizer_path, plain=True)
+        if enc.vocab_size > 1 << (8 * id_bytes):
+            raise ValueError(f"{enc.vocab_size} ids do not fit into {id_bytes} bytes")
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                ids, count = enc.encode(data, offsets)
+                if (ids == end_id).any():
+                    raise ValueError(f"texts encode to the end id {end_id}")
+                cut = np.concatenate([[0], np.cumsum(count)]) * id_bytes
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binary_rows(ids.astype(kind).view(np.uint8), cut)], names=["doc_id", "ids"])
 
-        def rows(kind: str, payload: bytes) -> pa.RecordBatch:
-            number[kind] += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([kind]), pa.array([number[kind] - 1], pa.int32()), pa.array([payload], pa.binary())],
-                names=["file", "kind", "block", "payload"],
-            )
+    def number(batches: Batches) -> Batches:
+        from pyspark import TaskContext
 
-        held, n = [], 0
+        file, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
-                ids, _ = enc.encode(data, offsets, end_id)
-                yield rows("docs", batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                held.append(ids)
-                n += len(ids)
-                while n >= block_ids:
-                    ids = np.concatenate(held)
-                    yield rows("ids", ids[:block_ids].astype("<u4").tobytes())
-                    held, n = [ids[block_ids:]], n - block_ids
-        if n:
-            yield rows("ids", np.concatenate(held).astype("<u4").tobytes())
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK_SCHEMA)
-    out.write.option("compression", "zstd").parquet(path)
-
-
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, payload) of a folder that ``write_flat`` wrote."""
-    return spark.read.schema(BLOCK_SCHEMA).parquet(path).where("kind = 'ids'").select("file", "block", "payload")
-
-
-def read_flat_files(spark: SparkSession, path: str, id_bytes: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(file, block, payload) of raw binary files of little-endian ids."""
-    step = block_ids * id_bytes
-    return (
-        spark.read.format("binaryFile").load(path)
-        .select(F.col("path").alias("file"), F.col("content"), F.expr(f"explode(sequence(0, cast((length - 1) div {step} as int)))").alias("block"))
-        .where(F.length("content") > 0)
-        .select("file", "block", F.expr(f"substring(content, block * {step} + 1, {step})").alias("payload"))
-    )
-
-
-def scan(blocks: DataFrame, end_id: int, id_bytes: int = 4) -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed) of every document."""
-    kind = {1: "u1", 2: "<u2", 4: "<u4", 8: "<u8"}[id_bytes]
-
-    def search(batches: Batches) -> Batches:
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, file, np.int32)), pa.array(np.arange(n, n + rows)), batch.column(0)], names=["file", "ordinal", "doc_id"])
+            n += rows
+
+    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), "flat-ids")
+    # a byte is a character of ISO-8859-1, so the separator is written as it is
+    separator = end_id.to_bytes(id_bytes, "little").decode("latin-1")
+    tokens.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+    # the written files and this numbering come from the same scan of the same table
+    return tokens.select("doc_id").mapInArrow(number, "file int, ordinal long, doc_id long")
+
+
+def summaries(spark: SparkSession, path: str, end_id: int, id_bytes: int = 4, block_ids: int = BLOCK_IDS, ranged: bool | None = None) -> DataFrame:
+    """(file, block, n, ends) of each block of raw files: ids in it, and the places of end ids."""
+    kind, step = KINDS[id_bytes], block_ids * id_bytes
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    if ranged is None:
+        ranged = urlparse(path).scheme in ("", "file")
+
+    def row(file: str, block: int, raw) -> pa.RecordBatch:
+        ids = np.frombuffer(raw, kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([file]), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([np.flatnonzero(ids == end_id)], pa.list_(pa.int64()))], names=["file", "block", "n", "ends"]
+        )
+
+    def by_range(batches: Batches) -> Batches:
+        encoder.cache_clear()  # a reused worker may still hold units
         for batch in batches:
-            n, ends = [], []
-            for x in batch.column(2):
-                ids = np.frombuffer(x.as_buffer(), kind)
-                n.append(len(ids))
-                ends.append(np.flatnonzero(ids == end_id))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int64()))], names=["file", "block", "n", "ends"]
-            )
-
-    file_type = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", "block", "payload").mapInArrow(search, f"file {file_type}, block int, n long, ends array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(unquote(urlparse(file).path), "rb") as f:
+                    f.seek(block * step)
+                    yield row(file, block, f.read(step))
+
+    def by_content(batches: Batches) -> Batches:
+        encoder.cache_clear()
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = memoryview(content.as_buffer())
+                for block in range(-(-len(held) // step)):
+                    yield row(file, block, held[block * step : (block + 1) * step])
+
+    if not ranged:
+        return files.select("path", "content").mapInArrow(by_content, SUMMARY)
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    blocks = files.select("path", F.explode(F.expr(f"sequence(0, cast((length - 1) div {step} as int))")).alias("block"))
+    return blocks.repartition(max(1, -(-total // TASK_BYTES)), "path", "block").mapInArrow(by_range, SUMMARY)
+
+
+def scan(blocks: DataFrame) -> DataFrame:
+    """``summaries`` to (file, ordinal, start, n_tokens, closed) of every document."""
+    found = materialize(blocks, "flat-blocks")
     in_order = Window.partitionBy("file").orderBy("block")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.size("ends") > 0, F.element_at("ends", -1))
     placed = (
-        found.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("docs_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-        .withColumn("last_end", F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1)))
+        found.select("file", "block", "n", F.size("ends").alias("n_ends"), last.alias("last"))
+        .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("docs_before", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
+        .withColumn("last_end", F.col("base") + F.col("last"))
         .withColumn("open_at", F.coalesce(F.max("last_end").over(before) + 1, F.lit(0)))
         .withColumn("final", F.lead("block").over(in_order).isNull())
     )
-    closed = placed.select(
+    closed = found.select("file", "block", "ends").join(placed.select("file", "block", "base", "docs_before", "open_at"), ["file", "block"]).select(
         "file",
         F.expr(
             "inline(transform(ends, (e, i) -> struct(docs_before + i AS ordinal,"
@@ -117,19 +139,14 @@ def scan(blocks: DataFrame, end_id: int, id_bytes: int = 4) -> DataFrame:
     )
     tail_start = F.coalesce(F.col("last_end") + 1, F.col("open_at"))
     tail = placed.where(F.col("final") & (tail_start < F.col("base") + F.col("n"))).select(
-        "file", (F.col("docs_before") + F.size("ends")).alias("ordinal"), tail_start.alias("start"), (F.col("base") + F.col("n")).alias("stop"), F.lit(False).alias("closed")
+        "file", (F.col("docs_before") + F.col("n_ends")).alias("ordinal"), tail_start.alias("start"), (F.col("base") + F.col("n")).alias("stop"), F.lit(False).alias("closed")
     )
     return closed.unionByName(tail).select("file", F.col("ordinal").cast("long").alias("ordinal"), "start", (F.col("stop") - F.col("start")).alias("n_tokens"), "closed")
 
 
-def document_order(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, doc_id) of a folder that ``write_flat`` wrote."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            lists = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["file", "block", "ids"])
-
-    lists = spark.read.schema(BLOCK_SCHEMA).parquet(path).where("kind = 'docs'").select("file", "block", "payload").mapInArrow(run, "file int, block int, ids array<long>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return lists.withColumn("base", F.coalesce(F.sum(F.size("ids")).over(before), F.lit(0))).selectExpr("file", "base", "posexplode(ids) AS (i, doc_id)").selectExpr("file", "base + i AS ordinal", "doc_id")
+def count_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_bytes: int = 4, block_ids: int = BLOCK_IDS, ranged: bool | None = None) -> DataFrame:
+    """Writes ``docs`` as flat files and counts them back: (doc_id, file, ordinal, start, n_tokens)."""
+    order = write_flat(docs, path, tokenizer_path, end_id, id_bytes)
+    places = scan(summaries(docs.sparkSession, path, end_id, id_bytes, block_ids, ranged))
+    number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int").alias("file")
+    return order.join(places.select(number, "ordinal", "start", "n_tokens"), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -15,11 +15,14 @@ Documents are in ascending id order across shards and blocks.
 
 **Scale.**  Ids are encoded once and kept as a table in the shared folder; the counts that go to
 the driver are one row per vocabulary entry.  Only coded documents (about 9 bits an id) are
-shuffled, by ranges of ids with equal numbers of documents.  Each task packs and decodes one
-block at a time.  Each shard's ids are a sum on the driver: one number per shard.
-
-**Defined cases.**  Null text counts as empty and still gets its end id.  Rows with equal ids
-are all written, next to each other.  An empty table writes an empty codebook and no blocks.
+shuffled, by ranges of ids with about equal numbers of tokens; their bounds come from a sample of at most
+``SAMPLE_ROWS`` rows, which decides nothing but balance.  An id that fills several ranges is spread over
+them.  Each task packs and decodes one block at a time.  Each shard's ids are a sum on the driver:
+one number per shard.
+
+**Defined cases.**  Null text counts as empty and still gets its end id.  Null document ids come
+first and stay null.  Rows with equal ids are all written, next to each other, in no stated order among
+themselves.  An empty table writes an empty codebook and no blocks.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,10 @@ from lodestar.llm.wordhash import text_slices
 MAX_BITS = 16
 MARK_EVERY = 128
 BLOCK_BYTES = 1 << 20
-DOCS_PER_SHARD = 20_000
+#: Tokens of a shard: fewer while there are fewer shards than cores to read them.
+TOKENS_PER_SHARD = (1 << 23, 1 << 27)
+SAMPLE_ROWS = 1_000_000
+_NULL_ID = np.iinfo(np.int64).min
 #: Ids coded by one vectorised step.
 STEP_IDS = 200_000
 
@@ -212,62 +219,80 @@ def build_code(tokens: DataFrame) -> Code:
     return Code(ids[order], code_lengths(rows["n"].to_numpy(np.int64)[order]))
 
 
-def shard_bounds(ids: DataFrame, id_col: str, n_docs: int, per_shard: int) -> np.ndarray:
-    """Upper ids of all shards but the last; approximate quantiles of the ids."""
-    n = max(1, -(-n_docs // per_shard))
+def shard_bounds(tokens: DataFrame, per_shard: tuple[int, int] = TOKENS_PER_SHARD) -> np.ndarray:
+    """Upper ids of all shards but the last, weighted by tokens; an id that fills several shards is repeated."""
+    size = tokens.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("n_tokens").cast("long")), F.lit(0)).alias("tokens")).first()
+    least, most = (-(-size["tokens"] // x) for x in reversed(per_shard))
+    n = max(1, least, min(most, 2 * tokens.sparkSession.sparkContext.defaultParallelism))
     if n == 1:
         return np.empty(0, np.int64)
-    cuts = ids.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.1 / n)
-    return np.unique(np.array(cuts).astype(np.int64))
+    share = min(1.0, min(256 * n, SAMPLE_ROWS) / size["rows"])
+    rows = tokens.select(F.coalesce("doc_id", F.lit(int(_NULL_ID))).alias("id"), "n_tokens")
+    drawn = (rows if share == 1 else rows.sample(share, seed=11)).toPandas().sort_values("id")
+    done = drawn["n_tokens"].to_numpy(np.int64).cumsum()
+    if not len(done):
+        return np.empty(0, np.int64)
+    return drawn["id"].to_numpy(np.int64)[np.searchsorted(done, done[-1] * np.arange(1, n) / n)]
+
 
+def shards_of(ids: np.ndarray, bounds: np.ndarray, at: int) -> np.ndarray:
+    """Shard of each id; rows of an id that fills several shards take turns (``at``: rows before these)."""
+    first, end = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return (first + (at + np.arange(len(ids))) % np.maximum(end - first, 1)).astype(np.int32)
 
-def write_token_files(tokens: DataFrame, path: str, docs_per_shard: int = DOCS_PER_SHARD, block_bytes: int = BLOCK_BYTES) -> None:
+
+def write_token_files(tokens: DataFrame, path: str, per_shard: tuple[int, int] = TOKENS_PER_SHARD, block_bytes: int = BLOCK_BYTES) -> None:
     """Writes a ``token_table`` that was materialized (it is read twice) in the block format."""
     spark = tokens.sparkSession
     code = build_code(tokens)
     spark.createDataFrame([(int(a), int(b)) for a, b in zip(code.ids, code.lengths)], "token_id long, length int").coalesce(1).write.parquet(f"{path}/codebook")
-    bounds = shard_bounds(tokens, "doc_id", tokens.count(), docs_per_shard)
+    bounds = shard_bounds(tokens, per_shard)
     held = spark.sparkContext.broadcast((code.ids, code.lengths))
 
     def coded(batches: Batches) -> Batches:
         encoder.cache_clear()  # a reused worker may still hold units
-        own = Code(*held.value)
+        own, done = Code(*held.value), 0
         for batch in batches:
             all_ids, bound = flat(batch.column(2), "<u4")
+            shard = shards_of(batch.column(0).fill_null(_NULL_ID).to_numpy(zero_copy_only=False), bounds, done)
+            done += batch.num_rows
             for lo, hi in row_ranges(bound):
                 data, at, marks, mark_at = own.encode(all_ids[bound[lo] : bound[hi]], bound[lo : hi + 1] - bound[lo])
                 doc_ids = batch.column(0).slice(lo, hi - lo)
-                shard = np.searchsorted(bounds, doc_ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), doc_ids, batch.column(1).slice(lo, hi - lo), binary_rows(marks.view(np.uint8), mark_at * 2), binary_rows(data, at)],
+                    [pa.array(shard[lo:hi]), doc_ids, batch.column(1).slice(lo, hi - lo), binary_rows(marks.view(np.uint8), mark_at * 2), binary_rows(data, at)],
                     names=["shard", "doc_id", "n_tokens", "marks", "payload"],
                 )
 
     def packed(batches: Batches) -> Batches:
-        number, held_rows, held_bytes = 0, [], 0
+        number, parts, size = 0, [], 0
 
         def block() -> pa.RecordBatch:
+            shard, doc_ids, n, marks, payload = (c.combine_chunks() for c in pa.Table.from_batches(parts).columns)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            joined = lambda x: pa.array([flat(x, "u1")[0].tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([held_rows[0][0]], pa.int32()), pa.array([number], pa.int32()),
-                    pa.array([[r[1] for r in held_rows]], pa.list_(pa.int64())), pa.array([[r[2] for r in held_rows]], pa.list_(pa.int32())),
-                    pa.array([[len(r[4]) for r in held_rows]], pa.list_(pa.int32())), pa.array([b"".join(r[3] for r in held_rows)]), pa.array([b"".join(r[4] for r in held_rows)]),
-                ],
+                [shard[:1], pa.array([number], pa.int32()), lists(doc_ids), lists(n), lists(pc.binary_length(payload).cast(pa.int32())), joined(marks), joined(payload)],
                 names=["shard", "block", "doc_ids", "n_tokens", "sizes", "marks", "payload"],
-            )
+            )
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held_rows.append(row)
-                held_bytes += len(row[4])
-                if held_bytes >= block_bytes:
+            done = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            lo = 0
+            while lo < batch.num_rows:  # a block ends with the row that fills it
+                hi = min(batch.num_rows, int(np.searchsorted(done, done[lo] + block_bytes - size, side="left")))
+                hi = max(hi, lo + 1)
+                parts.append(batch.slice(lo, hi - lo))
+                size += int(done[hi] - done[lo])
+                lo = hi
+                if size >= block_bytes:
                     yield block()
-                    number, held_rows, held_bytes = number + 1, [], 0
-        if held_rows:
+                    number, parts, size = number + 1, [], 0
+        if parts:
             yield block()
 
     rows = tokens.mapInArrow(coded, CODED_SCHEMA)
-    placed = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("doc_id", "n_tokens")
+    placed = rows.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens")
     placed.mapInArrow(packed, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

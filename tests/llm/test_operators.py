@@ -145,7 +145,7 @@ def test_exact_dedup(documents, corpus):
     groups = collections.defaultdict(list)
     for r in corpus:
         groups[norm[r[0]]].append(r[0])
-    got = exact_dedup.with_digest(documents, exact_dedup.exact_groups(documents, prefix_chars=3)).collect()
+    got = exact_dedup.exact_dedup(documents, prefix_chars=3).collect()
     assert len(got) == len(corpus)
     for r in got:
         own = groups[norm[r["doc_id"]]]
@@ -172,7 +172,7 @@ def test_token_files_round_trip(spark, documents, corpus):
     library = Tokenizer.from_file(tokenizer_path())
     path = scratch_path(spark, "test-files")
     tokens = materialize(token_files.token_table(documents, tokenizer_path(), 2), "test-ids")
-    token_files.write_token_files(tokens, path, docs_per_shard=17, block_bytes=300)
+    token_files.write_token_files(tokens, path, per_shard=(500, 900), block_bytes=300)
     got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted(r[0] for r in corpus)
     start, texts = 0, {r[0]: r[1] or "" for r in corpus}
@@ -280,8 +280,8 @@ def test_lm_states_grow_with_the_corpus(documents, corpus):
 def test_suffix_tree_is_a_distribution(spark):
     import numpy as np
 
-    docs = spark.createDataFrame([("abab abba " * 50,), ("ba ab " * 30,)], "text string")
-    tree = suffix_tree.grow(suffix_tree.run_counts(docs))
+    docs = spark.createDataFrame([(1, True, "abab abba " * 50), (2, True, "ba ab " * 30)], "block long, train boolean, text string")
+    tree = suffix_tree.grow(suffix_tree.run_counts(suffix_tree.block_runs(docs, suffix_tree.DEPTH, 3), suffix_tree.HEAD))
     assert tree.states() > 3
     for context in (b"\n\n\n\n\n", b"abab ", b"zzzzz", b"  aba"):
         head = int.from_bytes(context, "big") << 8
@@ -295,7 +295,7 @@ def test_empty_tables(spark, nothing):
     token_counts.write_flat(nothing.select("doc_id", "text"), flat, tokenizer_path(), 49407)
     results = [
         substring_dedup.substring_dedup(nothing), jaccard_join.jaccard_join(nothing), decontaminate.decontaminate(nothing, benchmark), license_scan.license_scan(nothing),
-        exact_dedup.exact_groups(nothing), language_id.identify(nothing), token_files.roundtrip(nothing, tokenizer_path(), 2, path), mixing.mix(nothing, MARGINS, TARGETS),
+        exact_dedup.exact_dedup(nothing), language_id.identify(nothing), token_files.roundtrip(nothing, tokenizer_path(), 2, path), mixing.mix(nothing, MARGINS, TARGETS),
         suffix_tree.score_documents(nothing), token_counts.scan(token_counts.read_flat(spark, flat), 49407),
     ]
     assert [r.count() for r in results] == [0] * len(results)
@@ -306,7 +306,7 @@ def test_null_ids(spark):
     docs = spark.createDataFrame([(None, body, "en", "s", 1), (1, body, "en", "s", 1), (2, body + " x", None, None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {None: 0, 1: 0, 2: 70}
     assert len(jaccard_join.jaccard_join(docs).collect()) == 3
-    for frame in (license_scan.license_scan(docs), mixing.mix(docs, MARGINS, TARGETS), suffix_tree.score_documents(docs), language_id.identify(docs), exact_dedup.exact_groups(docs)):
+    for frame in (license_scan.license_scan(docs), mixing.mix(docs, MARGINS, TARGETS), suffix_tree.score_documents(docs), language_id.identify(docs), exact_dedup.exact_dedup(docs)):
         assert frame.count() == 3
 
 
