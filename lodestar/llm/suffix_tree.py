@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches, materialize
+from lodestar.llm.common import Batches, materialize, release_memory
 from lodestar.llm.wordhash import MASK64, U64, mix, space_separated, split_words, text_slices
 
 DEPTH = 6
@@ -98,7 +98,7 @@ def run_counts(packed: DataFrame, depth: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, n = np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64) & U64((1 << (8 * (depth + 1))) - 1), unpack(r["n"], r["size"], np.int64)
+                keys, n = np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64) & U64((1 << (8 * (depth + 1))) - 1), unpack(r["n"], r["size"], np.int32).astype(np.int64)
                 sums = Sums()
                 sums.add(keys[n > 0], n[n > 0])
                 keys, n = sums.take()
@@ -143,8 +143,9 @@ class Sums:
 class RunSums:
     """Distinct runs with their counts in training; places are gathered and sorted many at a time."""
 
-    def __init__(self, step: int = 4_000_000):
-        self.sums, self.raw, self.waiting, self.step = Sums(), [], 0, step
+    def __init__(self, step: int = 1_500_000):
+        self.keys, self.n = np.empty(0, U64), np.empty(0, np.int32)
+        self.raw, self.waiting, self.step = [], 0, step
 
     def add(self, runs: np.ndarray, train: np.ndarray) -> None:
         self.raw.append(runs << U64(1) | train)
@@ -154,20 +155,26 @@ class RunSums:
 
     def fold(self) -> None:
         if self.waiting:
-            x = np.sort(np.concatenate(self.raw))
+            x = np.concatenate(self.raw)
+            self.raw, self.waiting = [], 0
+            x.sort()
             keys = x >> U64(1)
             new = np.ones(len(x), bool)
             new[1:] = keys[1:] != keys[:-1]
             first = np.flatnonzero(new)
-            self.sums.add(keys[first], np.add.reduceat(x & U64(1), first).astype(np.int64))
-        self.raw, self.waiting = [], 0
+            keys, n = keys[first], np.add.reduceat(x & U64(1), first).astype(np.int32)
+            at, there = lookup(self.keys, keys)
+            self.n[at[there]] += n[there]
+            into = np.searchsorted(self.keys, keys[~there])
+            self.n, self.keys = np.insert(self.n, into, n[~there]), np.insert(self.keys, into, keys[~there])
 
+    @property
     def size(self) -> int:
-        return self.sums.size + self.waiting
+        return len(self.keys) + self.waiting
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.fold()
-        return self.sums.take()
+        return self.keys, self.n
 
 
 @dataclass
@@ -262,29 +269,58 @@ def by_block(blocks: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.n
             yield block, of == block
 
 
+PACKS = "bucket long, block long, size long, runs binary, n binary"
+
+
+def packs(block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """A block's sorted keys with their counts, a row for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[order], n[order], bucket[order]
+    own, first = np.unique(bucket, return_index=True)
+    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(own, pa.int64()), pa.array(np.full(len(own), block)), pa.array([hi - lo for lo, hi in parts], pa.int64()),
+            pa.array([pack(np.diff(keys[lo:hi], prepend=U64(0))) for lo, hi in parts], pa.binary()), pa.array([pack(n[lo:hi].astype(np.int32)) for lo, hi in parts], pa.binary()),
+        ],
+        names=["bucket", "block", "size", "runs", "n"],
+    )
+
+
+def unpacked(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct keys, summed counts, place of each row's keys among them, row sizes) of ``packs``."""
+    sizes = part.column("size").to_pylist()
+    keys = np.concatenate([np.cumsum(unpack(r, m, U64), dtype=U64) for r, m in zip(part.column("runs").to_pylist(), sizes)])
+    n = np.concatenate([unpack(x, m, np.int32) for x, m in zip(part.column("n").to_pylist(), sizes)])
+    u, back = np.unique(keys, return_inverse=True)
+    return u, np.bincount(back, weights=n, minlength=len(u)), back, sizes
+
+
+def answers(part: pa.Table, values: np.ndarray, sizes: list[int], **more: pa.Array) -> pa.Table:
+    ends = np.cumsum(sizes).tolist()
+    packed = pa.array([pack(values[e - m : e]) for e, m in zip(ends, sizes)], pa.binary())
+    return pa.table({"block": part.column("block"), "size": part.column("size"), "runs": part.column("runs"), "value": packed, **more})
+
+
+def emptied(held: dict, limit: int) -> Iterator[int]:
+    """Blocks to be sent, the largest first, until fewer than ``limit`` keys are held."""
+    while len(held) > 256 or sum(x.size for x in held.values()) > limit:
+        yield max(held, key=lambda b: held[b].size)
+
+
 def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
-    """Distinct runs of each block of ``docs(block, train, text)`` with their training counts, by bucket.
+    """``packs`` of the distinct runs of each block of ``docs(block, train, text)``, with training counts.
 
     A bucket holds all runs whose last ``HEAD + 1`` bytes of context are the same.
     """
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         held: dict[int, RunSums] = {}
 
         def rows(block: int) -> pa.RecordBatch:
             keys, n = held.pop(block).take()
-            bucket = (mix(keys >> U64(8) & U64((1 << (8 * (HEAD + 1))) - 1)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, bucket = keys[order], n[order], bucket[order]
-            own, first = np.unique(bucket, return_index=True)
-            parts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own), pa.array(np.full(len(own), block)), pa.array([hi - lo for lo, hi in parts], pa.int64()),
-                    pa.array([pack(np.diff(keys[lo:hi], prepend=U64(0))) for lo, hi in parts], pa.binary()), pa.array([pack(n[lo:hi]) for lo, hi in parts], pa.binary()),
-                ],
-                names=["bucket", "block", "size", "runs", "n"],
-            )
+            return packs(block, keys, n, mix(keys >> U64(8) & U64((1 << (8 * (HEAD + 1))) - 1)) % U64(buckets))
 
         for batch in batches:
             blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(U64)
@@ -293,12 +329,55 @@ def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
                 of = np.repeat(train[lo:hi], np.diff(cut))
                 for block, own in by_block(blocks[lo:hi], cut):
                     held.setdefault(block, RunSums()).add(keys[own], of[own])
-                while len(held) > 8 or sum(x.size() for x in held.values()) > 8_000_000:
-                    yield rows(next(iter(held)))
+                for block in emptied(held, 5_000_000):
+                    yield rows(block)
         for block in list(held):
             yield rows(block)
+        release_memory()
+
+    return docs.select("block", "train", "text").mapInArrow(run, PACKS)
+
+
+def block_words(docs: DataFrame, buckets: int) -> DataFrame:
+    """``packs`` of the distinct words of each block of ``docs(block, train, text)``, with training counts."""
+
+    def run(batches: Batches) -> Batches:
+        release_memory()
+        held: dict[int, Sums] = {}
 
-    return docs.select("block", "train", "text").mapInArrow(run, "bucket long, block long, size long, runs binary, n binary")
+        def rows(block: int) -> pa.RecordBatch:
+            keys, n = held.pop(block).take()
+            return packs(block, keys, n, mix(keys) % U64(buckets))
+
+        for batch in batches:
+            blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in text_slices(batch.column(2)):
+                words = split_words(data, offsets, _SPACE, lower=True)
+                of = np.repeat(train[lo:hi], words.counts())
+                for block, own in by_block(blocks[lo:hi], words.first):
+                    w, back = np.unique(words.hashes[own], return_inverse=True)
+                    held.setdefault(block, Sums(500_000)).add(w, np.bincount(back, weights=of[own], minlength=len(w)).astype(np.int64))
+                for block in emptied(held, 2_000_000):
+                    yield rows(block)
+        for block in list(held):
+            yield rows(block)
+        release_memory()
+
+    return docs.select("block", "train", "text").mapInArrow(run, PACKS)
+
+
+def word_counts(packed: DataFrame) -> DataFrame:
+    """(block, size, runs, value, n, v): training counts of the words of ``block_words``, and on the first row
+    of each bucket the sum of all counts and the number of words that have one."""
+
+    def count(part: pa.Table) -> pa.Table:
+        _, n, back, sizes = unpacked(part)
+        once = lambda x: pa.array([int(x)] + [0] * (len(sizes) - 1))
+        out = answers(part, n[back].astype(np.int64), sizes, n=once(n.sum()), v=once((n > 0).sum()))
+        release_memory()
+        return out
+
+    return packed.groupBy("bucket").applyInArrow(count, "block long, size long, runs binary, value binary, n long, v long")
 
 
 def run_scores(packed: DataFrame, head: Tree, depth: int) -> DataFrame:
@@ -306,15 +385,11 @@ def run_scores(packed: DataFrame, head: Tree, depth: int) -> DataFrame:
     held = packed.sparkSession.sparkContext.broadcast(head)
 
     def score(part: pa.Table) -> pa.Table:
-        sizes, runs = part.column("size").to_pylist(), part.column("runs").to_pylist()
-        keys = [np.cumsum(unpack(r, m, U64), dtype=U64) for r, m in zip(runs, sizes)]
-        n = np.concatenate([unpack(x, m, np.int64) for x, m in zip(part.column("n").to_pylist(), sizes)])
-        u, back = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(back, weights=n, minlength=len(u))
+        u, n, back, sizes = unpacked(part)
         tree = grown(held.value, u[n > 0], n[n > 0], depth)
-        value = np.log10(tree.probabilities(u)).astype(np.float32)[back]
-        ends = np.cumsum(sizes)
-        return pa.table({"block": part.column("block"), "size": part.column("size"), "runs": part.column("runs"), "value": pa.array([pack(value[e - m : e]) for e, m in zip(ends.tolist(), sizes)], pa.binary())})
+        out = answers(part, np.log10(tree.probabilities(u)).astype(np.float32)[back], sizes)
+        release_memory()
+        return out
 
     return packed.groupBy("bucket").applyInArrow(score, "block long, size long, runs binary, value binary")
 
@@ -344,39 +419,13 @@ class Table:
         return out
 
 
-def merged(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Runs and values of a block's rows of ``run_scores``."""
-    runs, values = [np.empty(0, U64)], [np.empty(0, np.float32)]
-    for r in packs.select(["size", "runs", "value"]).to_pylist():
-        runs.append(np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64))
-        values.append(unpack(r["value"], r["size"], np.float32))
-    return np.concatenate(runs), np.concatenate(values)
-
-
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, word, k): words of each block of ``docs(block, train, text)``; k counts training ones."""
-
-    def run(batches: Batches) -> Batches:
-        held: dict[int, Sums] = {}
-
-        def rows(block: int) -> pa.RecordBatch:
-            w, k = held.pop(block).take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), pa.array(w.view(np.int64)), pa.array(k)], names=["block", "word", "k"])
-
-        for batch in batches:
-            blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_slices(batch.column(2)):
-                words = split_words(data, offsets, _SPACE, lower=True)
-                of = np.repeat(train[lo:hi], words.counts())
-                for block, own in by_block(blocks[lo:hi], words.first):
-                    w, back = np.unique(words.hashes[own], return_inverse=True)
-                    held.setdefault(block, Sums(500_000)).add(w, np.bincount(back, weights=of[own], minlength=len(w)).astype(np.int64))
-                while len(held) > 8 or sum(x.size for x in held.values()) > 4_000_000:
-                    yield rows(next(iter(held)))
-        for block in list(held):
-            yield rows(block)
-
-    return docs.select("block", "train", "text").mapInArrow(run, "block long, word long, k long")
+def merged(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a block's ``answers``."""
+    keys, values = [np.empty(0, U64)], [np.empty(0, kind)]
+    for size, runs, value in zip(*(rows.column(c) for c in ("size", "runs", "value"))):
+        keys.append(np.cumsum(unpack(runs.as_buffer(), size.as_py(), U64), dtype=U64))
+        values.append(unpack(value.as_buffer(), size.as_py(), kind))
+    return np.concatenate(keys), np.concatenate(values)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -385,14 +434,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def blocks_of(rows: int, size: int, text: Column, file: Column, nth: Column, block_bytes: int = BLOCK_BYTES) -> Column:
     """Block of a row by its place in a file: as many neighbours as have about ``block_bytes``.
 
-    ``rows`` and ``size`` (bytes of text) are those of the whole table.  Texts of more than four times the
-    mean length are dealt by size class, the fewer to a block the longer they are.
+    ``rows`` and ``size`` (bytes of text) are those of the whole table.  Texts of more than 16 times the
+    mean length are dealt by size class, the fewer to a block the longer they are, so a block has less than
+    16 times ``block_bytes`` wherever lengths are uneven.
     """
     mean = max(1.0, size / max(1, rows))
     per = max(1, int(block_bytes / mean))
-    level = F.greatest(F.lit(0), F.floor(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(mean)) / 2)).cast("int")
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(mean)) / 4)).cast("int")
     level = F.coalesce(level, F.lit(0))
-    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(per) / F.pow(F.lit(4.0), level)).cast("long"))
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(per) / F.pow(F.lit(16.0), level)).cast("long"))
     return F.xxhash64(file, level, F.floor(nth / step))
 
 
@@ -411,30 +461,30 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(1, -(-s["bytes"] // block_bytes))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), train.alias("train"), block.alias("block"))
     ends, buckets = s["train"], max(16, -(-s["bytes"] // (block_bytes // 2)))
-    words = materialize(block_words(rows), "block-words")
-    counts = materialize(words.groupBy("word").agg(F.sum("k").alias("c")).where("c > 0"), "word-counts")
-    s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    words = materialize(word_counts(block_words(rows, buckets)), "word-counts", "uncompressed")
+    s = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_train, v_train = s["n"] + ends, s["v"] + (ends > 0)
     packed = materialize(block_runs(rows, depth, buckets), "block-runs", "uncompressed")
     head = grow(materialize(run_counts(packed, min(HEAD, depth)), "symbol-runs"), min(HEAD, depth))
-    answers = words.select("block", "word").join(counts, "word").unionByName(run_scores(packed, head, depth), allowMissingColumns=True)
+    kinds = [x.withColumn("words", F.lit(w)).select("block", "words", "size", "runs", "value") for x, w in ((words, True), (run_scores(packed, head, depth), False))]
+    known_by_block = kinds[0].unionByName(kinds[1])
 
     def score(part: pa.Table, known: pa.Table) -> pa.Table:
-        runs = Table(*merged(known.filter(pc.is_valid(known.column("runs")))))
-        known = known.filter(pc.is_valid(known.column("word")))
-        word_counts = Table(known.column("word").to_numpy().view(np.uint64), known.column("c").to_numpy().astype(np.int64))
-        del known
+        runs = Table(*merged(known.filter(pc.invert(known.column("words"))), np.float32))
+        counts = Table(*merged(known.filter(known.column("words")), np.int64))
         out = []
         floor = np.log10(n_train + 0.1 * (v_train + 1))
         for lo, hi, data, offsets in text_slices(part.column("text").combine_chunks()):
             tokens = split_words(data, offsets, _SPACE, lower=True)
-            n = word_counts.get(tokens.hashes)
+            n = counts.get(tokens.hashes)
             term = np.concatenate([[0.0], np.cumsum(np.log10(n + 0.1) - floor)])
             found = np.concatenate([[0], np.cumsum(n > 0)])
             base = term[tokens.first[1:]] - term[tokens.first[:-1]] + np.log10(ends + 0.1) - floor
             key, cut, _ = symbols(data, offsets, depth)
             value = np.add.reduceat(runs.get(key).astype(np.float64), cut[:-1])
             out.append((lo, hi, tokens.counts() + 1, found[tokens.first[1:]] - found[tokens.first[:-1]] + (ends > 0), base, value))
+        del runs, counts
+        release_memory()
         cat = lambda i: np.concatenate([x[i] for x in out])
         return pa.table(
             {
@@ -444,4 +494,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ) if out else pa.Table.from_pylist([], schema=empty)
 
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return rows.select("block", "doc_id", "train", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    return rows.select("block", "doc_id", "train", "text").groupBy("block").cogroup(known_by_block.groupBy("block")).applyInArrow(score, SCORES)
