@@ -6,8 +6,9 @@ Each block is searched for the end id in one vectorised comparison; a prefix sca
 block summaries (ids, end ids, last end) then gives each block the place and the
 length of the document that runs into it.
 
-**Writing.**  ``write_flat`` writes such files with Spark's own text sink: a row is a document's ids as raw
+**Writing.**  ``write_flat`` writes such files with Spark's own text sink: a row is some documents' ids as raw
 bytes, and the line separator is the end id.  So files go to any store that Spark writes to.
+Ids of documents, in the order of the file, lie beside it in a file of the same number.
 Texts are encoded as plain text: a text that spells a special token gets ordinary ids, so the end id
 can only close documents.  An end id that texts do encode to is refused.
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches, materialize
+from lodestar.llm.common import Batches, materialize, release_memory
 from lodestar.llm.encode import encoder
 from lodestar.llm.token_files import binary_rows
 from lodestar.llm.wordhash import text_slices
@@ -45,45 +46,53 @@ SUMMARY = "file string, block int, n long, ends array<long>"
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_bytes: int = 4) -> DataFrame:
-    """Writes the flat files of ``docs(doc_id, text)`` to ``path``, and returns (file, ordinal, doc_id).
+    """Writes the flat files of ``docs(doc_id, text)`` under ``path``, and returns (file, ordinal, doc_id).
 
-    ``file`` is the number in a file's name, ``ordinal`` the place of the document in it.
+    ``file`` is the number in a file's name, ``ordinal`` the place of the document in it.  A task writes two
+    files of its number: the flat one in ``kind=flat``, and its documents' ids, in order, in ``kind=docs``.
     """
-    kind = KINDS[id_bytes]
+    spark, kind = docs.sparkSession, KINDS[id_bytes]
 
     def run(batches: Batches) -> Batches:
-        enc = encoder(tokenizer_path, plain=True)
+        enc, seq, ordinal = encoder(tokenizer_path, plain=True), 0, 0
         if enc.vocab_size > 1 << (8 * id_bytes):
             raise ValueError(f"{enc.vocab_size} ids do not fit into {id_bytes} bytes")
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
-                ids, count = enc.encode(data, offsets)
-                if (ids == end_id).any():
+                ids, _ = enc.encode(data, offsets, end_id)
+                if int((ids == end_id).sum()) != hi - lo:
                     raise ValueError(f"texts encode to the end id {end_id}")
-                cut = np.concatenate([[0], np.cumsum(count)]) * id_bytes
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binary_rows(ids.astype(kind).view(np.uint8), cut)], names=["doc_id", "ids"])
+                names = ",".join("" if i is None else str(i) for i in batch.column(0).slice(lo, hi - lo).to_pylist())
+                values = [ids[:-1].astype(kind).tobytes(), f"{ordinal}:{names}".encode()]  # the sink writes the last end id
+                yield pa.RecordBatch.from_arrays([pa.array(["flat", "docs"]), pa.array([seq, seq]), pa.array(values, pa.binary())], names=["kind", "seq", "value"])
+                seq, ordinal = seq + 1, ordinal + hi - lo
+        encoder.cache_clear()
+        release_memory()
 
-    def number(batches: Batches) -> Batches:
-        from pyspark import TaskContext
+    # a byte is a character of ISO-8859-1, so the separator is written as it is
+    raw = {"encoding": "ISO-8859-1", "lineSep": end_id.to_bytes(id_bytes, "little").decode("latin-1")}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind string, seq long, value binary")
+    rows.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").options(**raw).text(path)
+    if not has_folder(spark, f"{path}/kind=docs"):  # an empty table writes no files
+        return spark.createDataFrame([], "file int, ordinal long, doc_id long")
+    lists = spark.read.options(**raw).text(f"{path}/kind=docs").select(file_number(F.col("_metadata.file_name")).alias("file"), F.split("value", "[:,]").alias("ids"))
+    each = lists.select("file", F.element_at("ids", 1).cast("long").alias("first"), F.posexplode(F.slice("ids", 2, F.size("ids"))).alias("i", "id"))
+    return each.select("file", (F.col("first") + F.col("i")).alias("ordinal"), F.expr("try_cast(id AS BIGINT)").alias("doc_id"))
 
-        file, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, file, np.int32)), pa.array(np.arange(n, n + rows)), batch.column(0)], names=["file", "ordinal", "doc_id"])
-            n += rows
 
-    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary"), "flat-ids")
-    # a byte is a character of ISO-8859-1, so the separator is written as it is
-    separator = end_id.to_bytes(id_bytes, "little").decode("latin-1")
-    tokens.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
-    # the written files and this numbering come from the same scan of the same table
-    return tokens.select("doc_id").mapInArrow(number, "file int, ordinal long, doc_id long")
+def file_number(name) -> F.Column:
+    return F.regexp_extract(name, r"part-(\d+)-[^/]*$", 1).cast("int")
+
+
+def has_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def summaries(spark: SparkSession, path: str, end_id: int, id_bytes: int = 4, block_ids: int = BLOCK_IDS, ranged: bool | None = None) -> DataFrame:
     """(file, block, n, ends) of each block of raw files: ids in it, and the places of end ids."""
     kind, step = KINDS[id_bytes], block_ids * id_bytes
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content").where("length > 0")
     if ranged is None:
         ranged = urlparse(path).scheme in ("", "file")
 
@@ -95,6 +104,7 @@ def summaries(spark: SparkSession, path: str, end_id: int, id_bytes: int = 4, bl
 
     def by_range(batches: Batches) -> Batches:
         encoder.cache_clear()  # a reused worker may still hold units
+        release_memory()
         for batch in batches:
             for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with open(unquote(urlparse(file).path), "rb") as f:
@@ -103,6 +113,7 @@ def summaries(spark: SparkSession, path: str, end_id: int, id_bytes: int = 4, bl
 
     def by_content(batches: Batches) -> Batches:
         encoder.cache_clear()
+        release_memory()
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held = memoryview(content.as_buffer())
@@ -147,6 +158,7 @@ def scan(blocks: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_bytes: int = 4, block_ids: int = BLOCK_IDS, ranged: bool | None = None) -> DataFrame:
     """Writes ``docs`` as flat files and counts them back: (doc_id, file, ordinal, start, n_tokens)."""
     order = write_flat(docs, path, tokenizer_path, end_id, id_bytes)
-    places = scan(summaries(docs.sparkSession, path, end_id, id_bytes, block_ids, ranged))
-    number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int").alias("file")
-    return order.join(places.select(number, "ordinal", "start", "n_tokens"), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
+    if not has_folder(docs.sparkSession, f"{path}/kind=flat"):
+        return order.selectExpr("doc_id", "file", "ordinal", "0L AS start", "0L AS n_tokens")
+    places = scan(summaries(docs.sparkSession, f"{path}/kind=flat", end_id, id_bytes, block_ids, ranged))
+    return order.join(places.select(file_number(F.col("file")).alias("file"), "ordinal", "start", "n_tokens"), ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
