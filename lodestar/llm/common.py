@@ -34,8 +34,9 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lodestar/{spark.sparkContext.applicationId}"
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return "/".join([scratch_root(spark), *_scopes, f"{label}-{uuid.uuid4().hex}"])
+def scratch_path(spark: SparkSession, label: str, scoped: bool = True) -> str:
+    """A new path in the shared folder; ``scoped`` paths go when the ``scratch_scope`` around them ends."""
+    return "/".join([scratch_root(spark), *(_scopes if scoped else []), f"{label}-{uuid.uuid4().hex}"])
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
@@ -99,5 +100,8 @@ BROADCAST_IDS = 4_000_000
 
 
 def ids_if_small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` (materialized, keys of 8 to 16 bytes), marked for broadcast only if its count is bounded."""
-    return F.broadcast(ids) if ids.count() <= limit else ids
+    """``ids`` (materialized, columns of 8 bytes), marked for broadcast only if its count is bounded.
+
+    Keys of several columns take more memory as a hash table, so fewer of them are sent.
+    """
+    return F.broadcast(ids) if ids.count() <= limit // (4 if len(ids.columns) > 1 else 1) else ids

@@ -21,7 +21,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` of longs to (v, root): the smallest vertex of each edge vertex's component.
+    """``edges(u, v)`` of any type with an order to (v, root): the smallest vertex of each edge vertex's component.
 
     Roots themselves are not listed.  Self-loops, repeated edges and nulls are ignored.
     """

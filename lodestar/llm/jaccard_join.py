@@ -5,9 +5,9 @@ similarity reaches ``PERCENT`` / 100.
 
 **Equal sets** are one class; only classes take part, and copies follow their class.
 
-**Prefix index.**  Shingles have one global order, rare before frequent (how often is counted over
-all documents; the order decides only speed).  Two sets that link share one of their first
-``n - ceil(0.9 n) + 1`` shingles.  These places, with set size and position, are the index lists.
+**Prefix index.**  Shingles have one global order, rare before frequent: by how often tasks met them, where a
+task reports what it met twice or more.  The order decides only speed.  Two sets that link share one of
+their first ``n - ceil(0.9 n) + 1`` shingles.  These places, with set size and position, are the index lists.
 
 **Index-level skipping.**  Entries of a list are grouped in blocks of equal size and position.  For
 two blocks the size and position bounds say at once whether any of their entries can link; a
@@ -16,7 +16,7 @@ block without a partner block is skipped whole.
 **Short lists** (up to ``DENSE`` entries) give candidate pairs, which are made distinct, thinned by
 parity bitmaps (lossless) and verified against whole sets.
 
-**Dense lists** give no pairs.  Their surviving sets meet in cells of bounded size, a cell for each
+**Dense lists** give no pairs.  Their surviving sets meet in cells, a cell for each
 pair of chunks of neighbouring size classes, where bitmaps must leave them a partner, and are
 verified there.  *Answer-level skipping*: a
 cell holds, for each set, its overlaps with all others; those of a set are derived from the
@@ -25,12 +25,17 @@ only.  A pair counts where the list is that of its first common shingle, so link
 once; the cell returns link counts and the edges of a spanning forest.
 
 **Scale.**  Only index entries of shingles that two classes share, and sets with a partner, are
-shuffled.  The work in a dense list is that of its links; it is spread over cells with at most
-``2 * CHUNK`` sets.  Components are found by ``components``.
+shuffled; which sets these are is told to tasks by a bit table of at most ``2 ** MASK_BITS`` bits, whatever their
+number, and a set that passes it by chance meets no partner later.  A cell holds at most ``2 * CHUNK``
+sets of each of two size classes and about ``CELL_ITEMS`` shingles a chunk.  A dense list of ``m`` distinct sets
+takes ``m * m / CHUNK`` entries of cells: for near copies of each other that is less than their links, which a
+link count cannot avoid; copies of equal sets cost nothing here.  Components are found by ``components``.
 
 **Defined cases.**  Null and empty texts have the empty set, link with nothing and are their own
 component.  Texts with fewer words than a shingle have one shingle, the whole word sequence.
-Repeated rows are copies.  A row with a null id gets the component of its class and starts none.
+Every row gives one row, and repeated rows are copies.  Rows are found by their sets, never by their ids: rows
+with one id and different texts belong to different classes.  A row with a null id gets the smallest
+id of its component, or null where no row of it has one.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BROADCAST_IDS, Batches, materialize
+from lodestar.llm.common import KEY, Batches, materialize, text_key
 from lodestar.llm.components import components
 from lodestar.llm.suffix_tree import Sums
 from lodestar.llm.token_files import binary_rows
@@ -52,6 +57,12 @@ WORDS = 3
 PERCENT = 90
 DENSE = 48
 CHUNK = 512
+#: Shingles of one chunk's sets; chunks of long sets hold fewer sets.
+CELL_ITEMS = 4_000_000
+#: Digests a task remembers so as not to list equal sets twice.
+SEEN = 1 << 20
+#: Size of the largest table that tells tasks which sets are wanted.
+MASK_BITS = 27
 #: Shingles whose frequency takes part in the order; the rest count as rare.
 FREQUENT = 1 << 18
 #: 64-bit words of a set's parity bitmap.
@@ -108,15 +119,28 @@ class Sets:
 
 
 def shapes(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """(doc_id, n, d1, d2, bits): size, 128-bit digest and parity bitmap of each document's set."""
+    """(doc_id, key of the text, n, d1, d2, bits): size, 128-bit digest and parity bitmap of each document's set."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 s = Sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s.size.astype(np.int32)), pa.array(s.d1), pa.array(s.d2), s.bitmaps()], names=["doc_id", "n", "d1", "d2", "bits"])
+                own = [batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(s.size.astype(np.int32)), pa.array(s.d1), pa.array(s.d2), s.bitmaps()], names=["doc_id", *KEY, "n", "d1", "d2", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, bits array<long>")
+    return docs.mapInArrow(run, f"doc_id long, {KEY[0]} long, {KEY[1]} long, n int, d1 long, d2 long, bits array<long>")
+
+
+class Seen:
+    """Which digests are met for the first time; forgets all when ``SEEN`` are held, as later steps make rows distinct."""
+
+    def __init__(self):
+        self.held: set = set()
+
+    def fresh(self, digests: list) -> np.ndarray:
+        if len(self.held) + len(digests) > SEEN:
+            self.held.clear()
+        return np.array([d not in self.held and not self.held.add(d) for d in digests], bool)
 
 
 def global_order(docs: DataFrame, width: int = WORDS, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +181,11 @@ def prefix_rows(docs: DataFrame, held, width: int, percent: int) -> DataFrame:
     """(shingle, d1, n, pos) of the prefix places; a task lists equal sets once."""
 
     def run(batches: Batches) -> Batches:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 s = Sets(data, offsets, width, held.value)
-                fresh = np.array([d not in seen and not seen.add(d) for d in s.d1.tolist()], bool)
+                fresh = seen.fresh(s.d1.tolist())
                 prefix = np.where(fresh & (s.size > 0), s.size - -(-percent * s.size // 100) + 1, 0)
                 pos = np.arange(len(s.text)) - s.first[:-1][s.text]
                 keep = pos < prefix[s.text]
@@ -239,20 +263,21 @@ def short_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "x long, y long, pos_x int").groupBy("x", "y").agg(F.min("pos_x").alias("pos_x"))
 
 
-def bitmap_table(shape: DataFrame, ids: DataFrame) -> DataFrame:
-    """(d1, bits, n) of the digests in ``ids``; bits is null where a digest stands for several sets."""
-    bits = shape.join(ids.distinct(), "d1", "left_semi").groupBy("d1").agg(F.when(F.min("d2") == F.max("d2"), F.first("bits")).alias("bits"), F.max("n").alias("n"))
-    return materialize(bits, "bitmaps")
+def class_bitmaps(shape: DataFrame) -> DataFrame:
+    """(d1, bits, n), one row a digest; bits is null where a digest stands for several sets."""
+    one = F.when(F.min("d2") == F.max("d2"), F.first("bits")).alias("bits")
+    return shape.where("n > 0").groupBy("d1").agg(one, F.max("n").alias("n"))
 
 
-def bitmap_filter(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+def bitmap_filter(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs that their bitmaps do not rule out.
 
     Sets that differ in k shingles share (n_x + n_y - k) / 2, and bitmaps that differ in b bits prove
     k >= b.  A bitmap is 256 bytes where a long set is many kilobytes.  Digests that stand for several sets
     (a collision of 64 bits) are passed on unfiltered.
     """
-    bits = bitmap_table(shape, pairs.select(F.col("x").alias("d1")).union(pairs.select("y")))
+    ids = pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).distinct()
+    bits = materialize(bitmaps.join(ids, "d1", "left_semi"), "bitmaps")
     side = lambda k: bits.select(F.col("d1").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
     apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
     total = F.col("n_x") + F.col("n_y")
@@ -270,15 +295,17 @@ def dense_cells(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
     (shingle, g) and a visitor in (shingle, g + 1): sets that link are at most one class apart.
     side is 2 * (visitor) + (1 for the cell's second chunk).
     """
-    step = -np.log((percent - 0.1) / 100)
+    step = float(-np.log((percent - 0.1) / 100))
+    longest = F.exp((F.col("g") + 1) * F.lit(step))  # sets of a cell are no longer than this
+    room = F.greatest(F.lit(2.0), F.least(F.lit(float(chunk)), F.lit(float(CELL_ITEMS)) / longest))
     placed = (
-        entries.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int"))
-        .withColumn("chunks", F.ceil(F.col("many") / chunk).cast("int"))
+        entries.withColumn("visitor", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("g", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int") + F.col("visitor"))
+        .withColumn("chunks", F.ceil(F.col("many") / room).cast("int"))
         .withColumn("h", F.pmod(F.xxhash64("d1"), F.col("chunks")).cast("int"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("visitor", F.explode(F.array(F.lit(0), F.lit(1))))
         .select(
-            "shingle", (F.col("g") + F.col("visitor")).alias("g"), F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"),
+            "shingle", "g", F.least("h", "k").alias("a"), F.greatest("h", "k").alias("b"),
             (F.col("visitor") * 2 + F.when(F.col("h") > F.col("k"), 1).otherwise(0)).cast("int").alias("side"), "d1", "n", "pos", "bits",
         )
     )
@@ -323,20 +350,32 @@ def cell_meets(one_chunk: bool):
     return lambda s, t: ((s < 2) | (t < 2)) & (True if one_chunk else (s & 1) != (t & 1))
 
 
+def digest_mask(digests: DataFrame) -> np.ndarray:
+    """Bit table of the leading bits of ``digests(d1)``, at most ``2 ** MASK_BITS`` bits whatever their number."""
+    bits = min(MASK_BITS, max(12, int(32 * digests.count()).bit_length()))
+    place = F.shiftrightunsigned("d1", 64 - bits)
+    rows = digests.select(F.shiftright(place, 6).alias("w"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("b"))
+    words = rows.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toPandas()
+    mask = np.zeros(1 << (bits - 6), np.int64)
+    mask[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return mask.view(U64)
+
+
+def in_mask(mask: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    place = d1.view(U64) >> U64(64 - (len(mask).bit_length() - 1 + 6))
+    return (mask[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)).astype(bool)
+
+
 def set_rows(docs: DataFrame, held, wanted, width: int) -> DataFrame:
-    """(d1, d2, body): shingles of sets in global order, of sets in ``wanted`` (None: of all)."""
+    """(d1, d2, body): shingles in global order of the sets that pass the bit table ``wanted``."""
 
     def run(batches: Batches) -> Batches:
-        seen: set[tuple[int, int]] = set()
-        listed = None if wanted is None else wanted.value
+        seen = Seen()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 s = Sets(data, offsets, width, held.value)
-                ok = s.size > 0
-                if listed is not None:
-                    at = np.minimum(np.searchsorted(listed, s.d1), max(len(listed) - 1, 0))
-                    ok &= listed[at] == s.d1 if len(listed) else False
-                pick = np.array([i for i in np.flatnonzero(ok).tolist() if (k := (int(s.d1[i]), int(s.d2[i]))) not in seen and not seen.add(k)], np.int64)
+                pick = np.flatnonzero((s.size > 0) & in_mask(wanted.value, s.d1))
+                pick = pick[seen.fresh(list(zip(s.d1[pick].tolist(), s.d2[pick].tolist())))]
                 chosen = np.zeros(len(s.size), bool)
                 chosen[pick] = True
                 cut = np.concatenate([[0], np.cumsum(s.size[pick])]) * 8
@@ -366,7 +405,7 @@ def verify_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             take = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([*(c[n].take(take) for n in ("u", "v", "copies_u", "copies_v")), pa.array(own, pa.bool_())], names=["u", "v", "copies_u", "copies_v", "own"])
 
-    return pairs.mapInArrow(run, "u long, v long, copies_u long, copies_v long, own boolean")
+    return pairs.mapInArrow(run, "u binary, v binary, copies_u long, copies_v long, own boolean")
 
 
 def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -405,11 +444,12 @@ def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         i = j
 
 
-def verify_cell(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+def verify_cell(table: pa.Table, percent: int) -> tuple[list[tuple[bytes, bytes]], dict[bytes, int]]:
     """Spanning forest of a cell's links, and for each set the copies it links to in this list."""
     shingle = np.uint64(np.int64(table.column("shingle")[0].as_py()).view(U64))
     sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("body").combine_chunks()]
-    rep, copies, side = (table.column(c).to_numpy() for c in ("rep", "copies", "side"))
+    key = table.column("key").to_pylist()
+    copies, side = (table.column(c).to_numpy() for c in ("copies", "side"))
     size = np.array([len(s) for s in sets])
     head = [s[: int(np.flatnonzero(s == shingle)[0])] for s in sets]  # what comes before this shingle
     earlier = dict(overlaps(head)) if any(len(h) for h in head) else None
@@ -424,13 +464,14 @@ def verify_cell(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], d
 
     edges, counts = [], {}
     for i, row in overlaps(sets):
-        linked = (100 * row >= percent * (size[i] + size - row)) & meets(side[i], side) & (rep != rep[i])
+        linked = (100 * row >= percent * (size[i] + size - row)) & meets(side[i], side)
+        linked[i] = False
         for j in np.flatnonzero(linked).tolist():
             if root(i) != root(j):
                 parent[root(i)] = root(j)
-                edges.append((int(rep[i]), int(rep[j])))
+                edges.append((key[i], key[j]))
         counted = linked if earlier is None else linked & (earlier[i] == 0)
-        counts[int(rep[i])] = counts.get(int(rep[i]), 0) + int(copies[counted].sum())
+        counts[key[i]] = counts.get(key[i], 0) + int(copies[counted].sum())
     return edges, counts
 
 
@@ -441,54 +482,60 @@ def verify_cells(members: DataFrame, percent: int) -> DataFrame:
         edges, counts = verify_cell(table, percent)
         return pa.table(
             {
-                "u": pa.array([e[0] for e in edges] + list(counts), pa.int64()),
-                "v": pa.array([e[1] for e in edges] + [None] * len(counts), pa.int64()),
+                "u": pa.array([e[0] for e in edges] + list(counts), pa.binary()),
+                "v": pa.array([e[1] for e in edges] + [None] * len(counts), pa.binary()),
                 "n": pa.array([None] * len(edges) + list(counts.values()), pa.int64()),
             }
         )
 
-    return members.groupBy(*CELL).applyInArrow(run, "u long, v long, n long")
+    return members.groupBy(*CELL).applyInArrow(run, "u binary, v binary, n long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, percent: int = PERCENT, dense: int = DENSE, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, n_links, class_id.
+    """One row per document: doc_id, n_shingles, component_id, n_links, class_id, component, key of the text.
 
-    n_links counts the documents it links with, copies included.
+    n_links counts the documents it links with, copies included.  ``component`` tells components apart where ids
+    cannot; it is null for the empty set.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text))
     shape = materialize(shapes(rows, width), "shapes")
-    classes = materialize(shape.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    both = F.concat(*[F.lpad(F.hex(d), 16, "0") for d in ("d1", "d2")])
+    classes = materialize(
+        shape.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.unhex(both)), "classes"
+    )
+    bitmaps = materialize(class_bitmaps(shape), "class-bitmaps")
     held = spark.sparkContext.broadcast(global_order(rows, width))
     index = materialize(prefix_rows(rows, held, width, percent), "prefixes")
     shared = materialize(index.groupBy("shingle").agg((F.min("d1") < F.max("d1")).alias("t"), F.count("*").alias("many")).where("t").select("shingle", "many"), "shared-shingles")
     entries = materialize(index.join(shared, "shingle").distinct(), "entries")
     pairs = materialize(short_pairs(entries.where(F.col("many") <= dense), percent), "pairs")
-    pairs = materialize(bitmap_filter(pairs, shape, percent), "likely-pairs")
-    crowded = entries.where(F.col("many") > dense)
-    crowded = crowded.join(bitmap_table(shape, crowded.select("d1")).select("d1", "bits"), "d1")
+    pairs = materialize(bitmap_filter(pairs, bitmaps, percent), "likely-pairs")
+    crowded = entries.where(F.col("many") > dense).join(bitmaps.select("d1", "bits"), "d1")
     cells = materialize(dense_cells(crowded, percent, chunk), "cells")
     needed = materialize(pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).union(cells.select("d1")).distinct(), "needed-sets")
-    wanted = None
-    if needed.count() <= BROADCAST_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(needed.toPandas()["d1"].to_numpy(np.int64)))
-    known = classes.where("rep IS NOT NULL").select("d1", "d2", "rep", "copies")
+    wanted = spark.sparkContext.broadcast(digest_mask(needed))
+    known = classes.select("d1", "d2", "key", "copies")
     sets = materialize(set_rows(rows, held, wanted, width).join(known, ["d1", "d2"]), "sets")
-    side = lambda d, u, s: sets.select(F.col("d1").alias(d), F.col("rep").alias(u), F.col("copies").alias(f"copies_{u}"), F.col("body").alias(f"body_{s}"))
+    side = lambda d, u, s: sets.select(F.col("d1").alias(d), F.col("key").alias(u), F.col("copies").alias(f"copies_{u}"), F.col("body").alias(f"body_{s}"))
     short = materialize(verify_pairs(pairs.join(side("x", "u", "x"), "x").join(side("y", "v", "y"), "y"), percent), "short-links")
-    deep = materialize(verify_cells(cells.join(sets.select("d1", "rep", "copies", "body"), "d1"), percent), "dense-links")
+    deep = materialize(verify_cells(cells.join(sets.select("d1", "key", "copies", "body"), "d1"), percent), "dense-links")
     found = components(short.select("u", "v").union(deep.where("v IS NOT NULL").select("u", "v")))
     own = short.where("own")
     counts = (
-        own.select(F.col("u").alias("rep"), F.col("copies_v").alias("n")).union(own.select("v", "copies_u")).union(deep.where("v IS NULL").select("u", "n"))
-        .groupBy("rep").agg(F.sum("n").alias("links"))
+        own.select(F.col("u").alias("key"), F.col("copies_v").alias("n")).union(own.select("v", "copies_u")).union(deep.where("v IS NULL").select("u", "n"))
+        .groupBy("key").agg(F.sum("n").alias("links"))
     )
+    members = found.withColumnRenamed("v", "key").unionByName(found.select(F.col("root").alias("key"), "root").distinct())
+    members = materialize(members.join(classes.select("key", "rep"), "key"), "members")
+    first = members.groupBy("root").agg(F.min("rep").alias("first_id"))
     answer = materialize(
-        classes.join(found.withColumnRenamed("v", "rep"), "rep", "left").join(counts, "rep", "left")
-        .select("d1", "d2", "n", "rep", F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links")),
+        classes.join(members.join(first, "root").select("key", "root", "first_id"), "key", "left").join(counts, "key", "left")
+        .select("d1", "d2", "n", "rep", F.coalesce("root", "key").alias("component"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("first_id")).alias("first_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links")),
         "answers",
     )
     return shape.drop("bits").join(answer, ["d1", "d2", "n"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("rep", "doc_id").alias("class_id"),
+        F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), "component", *KEY,
     )

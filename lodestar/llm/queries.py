@@ -78,7 +78,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links", "class_id")
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join, "op4_license_scan": op4_license_scan, "op9_mixing": op9_mixing, "op6_language_id": op6_language_id, "op10_lm_scoring": op10_lm_scoring, "op3_decontamination": op3_decontamination, "op1_substring_dedup": op1_substring_dedup, "op7_token_counts": op7_token_counts, "op8_token_output": op8_token_output, "op5_exact_dedup": op5_exact_dedup}
