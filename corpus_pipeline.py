@@ -2,7 +2,8 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; ``run`` writes each result as Parquet and gives the next
 stage what it reads back, so a lost executor costs at most a stage.  All but the last return
-the columns of ``documents``.  Rows without an id pass the stages that decide by id.
+the columns of ``documents``.  Stages decide by texts and by the rows' own keys, so rows with null or
+repeated ids are each judged for themselves.  What a stage writes on its way is deleted after it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard_join, language_id, mixing, token_files
-from lodestar.llm.common import ids_if_small, materialize, scratch_path, table
+from lodestar.llm.common import KEY, ids_if_small, materialize, scratch_path, scratch_scope, table, text_key
 from lodestar.llm.queries import MARGINS, TARGETS, tokenizer_path
 
 #: A prediction against the label rejects a document from this score on.
@@ -40,20 +41,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest id stays, once."""
+    """Of each component of linked documents one row stays: the one with the smallest id.
+
+    Null ids come last; rows with the same id are told apart by the hash of their text, and of rows
+    with the same id and text the smallest in all columns stays.  Texts without words stay.
+    """
+    row = ["__id", *KEY]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
     joined = jaccard_join.jaccard_join(docs.select("doc_id", "text"), width=NEAR_WORDS, percent=NEAR_PERCENT)
-    stay = materialize(joined.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(ids_if_small(stay.select("doc_id")), "doc_id", "left_semi")
-    if stay.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    found = materialize(joined.where("component IS NOT NULL").select("component", "doc_id", name, *KEY), "near-copies")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *row)
+    stays = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", *[F.col(f"first.{c}").alias(f"first{c}") for c in row])
+    marked = materialize(found.join(stays, "component").withColumn("goes", F.expr(" OR ".join(f"{c} <> first{c}" for c in row))), "near-groups")
+    gone = materialize(marked.where("goes").select(*row).distinct(), "near-gone")
+    again = materialize(marked.where("NOT goes").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select(*row), "near-again")
+    keyed = docs.select("*", name, *text_key(F.col("text"))).join(ids_if_small(gone), row, "left_anti")
+    listed = ids_if_small(again)
+    once = keyed.join(listed, row, "left_anti").select(docs.columns)
+    twice = keyed.join(listed, row, "left_semi").groupBy(*row).agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return once.unionByName(twice)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows cover to a twentieth or more go."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(ids_if_small(bad), "doc_id", "left_anti").select(docs.columns)
+    bad = materialize(found.where("contaminated").select(*KEY).distinct(), "contaminated")
+    return docs.select("*", *text_key(F.col("text"))).join(ids_if_small(bad), KEY, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, read back: (doc_id, start, n_tokens, ids_crc32)."""
-    return token_files.roundtrip(docs, tokenizer_path(), END_ID, scratch_path(spark, "token-files"), digest=True)
+    return token_files.roundtrip(docs, tokenizer_path(), END_ID, scratch_path(spark, "token-files", scoped=False), digest=True)
 
 
 STAGES = [
@@ -83,5 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        path = scratch_path(spark, name.replace(" ", "-").replace("/", "-"))
+        with scratch_scope(spark, "stage"):
+            docs = materialize(stage(spark, docs, sf_dir), name, path=path)
     return docs
