@@ -8,19 +8,23 @@ takes part.  Everything is numpy; windows are processed in batches of fixed size
 
 **Training.**  Adam on windows of labelled documents.  This is the one part that uses a bounded
 sample: at most ``DOCS_PER_LANGUAGE`` documents of each language, those with the smallest hash of
-their id, and ``WINDOWS_PER_DOC`` windows spread evenly over each text.  Languages are weighted
+id and text, and ``WINDOWS_PER_DOC`` windows spread evenly over each text.  Languages are weighted
 equally.  All randomness is seeded.
 
 **Scale.**  Prediction is one scan with no shuffle; the network (some tens of kilobytes) is
-broadcast.  The sample is chosen by a per-language limit that each task applies first.
+broadcast.  Languages are counted first, and hashes beyond a bound that leaves about ``4 *
+DOCS_PER_LANGUAGE`` documents of a language never leave their task; of the rest the smallest are
+taken exactly.
 
 **Defined cases.**  Null texts and texts without a letter are ``und`` with score 0.  If no labelled
 document can be learned from, every document is ``und``.  Rows with a null id are never held out
-of training by chance: a null id counts as the id ''.  Repeated rows get equal results.
+of training by chance: a null id counts as the id ''.  Repeated rows get equal results.  Extra
+columns stay in ``predict`` and are ignored in ``identify``.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,15 +173,27 @@ def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int
     """(lang, windows of text) of the bounded sample of ``docs(doc_id, text, lang)``."""
     step = F.greatest(F.lit(1), F.floor((F.length("text") - WINDOW) / max(1, per_doc - 1))).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(WINDOW)))
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy("hash", "id", "parts")
-    return (
-        docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
-        .select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("hash"), F.col("doc_id").alias("id"), places.alias("parts"))
-        .withColumn("nth", F.row_number().over(order))
-        .where(F.col("nth") <= per_language)
-        .select("lang", "parts")
-        .collect()
-    )
+    share, rows = {lang: 4 * per_language / n for lang, n in counts.items()}, []
+    while counts:
+        # hashes are even over the 64-bit numbers; nulls stand for "all"
+        bounds = [x for lang, q in sorted(share.items()) if q < 1 for x in (F.lit(lang), F.lit(int(q * 2**64) - 2**63))]
+        bound = F.element_at(F.create_map(*bounds), F.col("lang")) if bounds else F.lit(None).cast("long")
+        drawn = (
+            usable.withColumn("hash", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+            .where(F.col("hash") <= F.coalesce(bound, F.lit(2**63 - 1)))
+            .select("lang", "hash", F.col("doc_id").alias("id"), places.alias("parts"))
+            .withColumn("nth", F.row_number().over(order))
+            .where(F.col("nth") <= per_language)
+        )
+        found = drawn.where(F.col("lang").isin(list(counts))).select("lang", "parts").collect()
+        have = Counter(r["lang"] for r in found)
+        rows += [r for r in found if share[r["lang"]] >= 1 or have[r["lang"]] >= per_language]
+        counts = {lang: n for lang, n in counts.items() if share[lang] < 1 and have[lang] < per_language}  # a bound was too low by chance
+        share = {lang: 4 * q for lang, q in share.items()}
+    return rows
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Network | None:
