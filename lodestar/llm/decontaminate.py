@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import KEY, Batches, materialize, text_key
+from lodestar.llm.common import KEY, Batches, materialize, release_memory, text_key
 from lodestar.llm.wordhash import MASK64, U64, HashIndex, alphanumeric, span_hashes, split_words, text_slices, window_starts
 
 WINDOW = 13
@@ -150,6 +150,7 @@ def find_windows(docs: DataFrame, windows: Windows) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         own = held.value
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(0)):

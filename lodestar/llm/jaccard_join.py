@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import KEY, Batches, materialize, text_key
+from lodestar.llm.common import KEY, Batches, materialize, release_memory, text_key
 from lodestar.llm.components import components
 from lodestar.llm.suffix_tree import Sums
 from lodestar.llm.token_files import binary_rows
@@ -150,6 +150,7 @@ def global_order(docs: DataFrame, width: int = WORDS, limit: int = FREQUENT) ->
     """
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         sums = Sums(1_000_000, 2_000_000)
 
         def rows() -> pa.RecordBatch:
@@ -181,6 +182,7 @@ def prefix_rows(docs: DataFrame, held, width: int, percent: int) -> DataFrame:
     """(shingle, d1, n, pos) of the prefix places; a task lists equal sets once."""
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         seen = Seen()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -370,6 +372,7 @@ def set_rows(docs: DataFrame, held, wanted, width: int) -> DataFrame:
     """(d1, d2, body): shingles in global order of the sets that pass the bit table ``wanted``."""
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         seen = Seen()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
@@ -435,7 +438,7 @@ def overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         left[i] = False
         if not left.any():
             return
-        shared = np.where(left, row / (size[i] + size - row), -1.0)
+        shared = np.where(left, row / np.maximum(size[i] + size - row, 1), -1.0)
         j = int(shared.argmax())
         if shared[j] > 0.5:
             row = row - through(np.setdiff1d(own[i], own[j], assume_unique=True)) + through(np.setdiff1d(own[j], own[i], assume_unique=True))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches
+from lodestar.llm.common import Batches, release_memory
 from lodestar.llm.suffix_tree import fold_number
 from lodestar.llm.wordhash import text_slices
 
@@ -220,6 +220,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", added:
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         own = held.value
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(at)):

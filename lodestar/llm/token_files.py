@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Batches, materialize
+from lodestar.llm.common import Batches, materialize, release_memory
 from lodestar.llm.encode import encoder
 from lodestar.llm.wordhash import text_slices
 
@@ -251,6 +251,7 @@ def write_token_files(tokens: DataFrame, path: str, per_shard: tuple[int, int] =
 
     def coded(batches: Batches) -> Batches:
         encoder.cache_clear()  # a reused worker may still hold units
+        release_memory()
         own, done = Code(*held.value), 0
         for batch in batches:
             all_ids, bound = flat(batch.column(2), "<u4")
@@ -325,6 +326,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
     def run(batches: Batches) -> Batches:
         encoder.cache_clear()
+        release_memory()
         own = Code(*held.value)
         for batch in batches:
             for i in range(batch.num_rows):

@@ -12,8 +12,17 @@ from lodestar.llm.wordhash import text_slices
 
 
 @pytest.fixture(scope="module")
-def encoder():
-    return Encoder(tokenizer_path())
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+@pytest.fixture(scope="module")
+def encoder(library):
+    out = Encoder(tokenizer_path())
+    out.fresh = library  # as the library opens it, not the encoder's own copy
+    return out
 
 
 def same(encoder, texts):
@@ -21,7 +30,7 @@ def same(encoder, texts):
         ids, n = encoder.encode(data, offsets)
         at = 0
         for text, size in zip(texts[lo:hi], n.tolist()):
-            assert ids[at : at + size].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids, repr(text)
+            assert ids[at : at + size].tolist() == encoder.fresh.encode(text or "", add_special_tokens=False).ids, repr(text)
             at += size
 
 
@@ -29,6 +38,17 @@ def test_awkward_texts(encoder):
     same(encoder, ["it's o'clock 'tis", "Ünï 2024²x½ — “quoted” it’s", "á école ß İ", "", None, " \n\t", "日本語 テキスト!!", "É'S ÉTÉ'll x÷y×z", "nb sp", "<|endoftext|> #", "a\x00b \x1c c", "é Å"])
 
 
+def test_special_tokens(encoder, library):
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b it's", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|> x", "plain", "", "é<|endoftext|><|endoftext|>"]
+    same(encoder, texts)
+    plain = Encoder(tokenizer_path(), plain=True)
+    library_plain = plain.library
+    assert library_plain.encode_special_tokens and not library.encode_special_tokens
+    for lo, hi, data, offsets in text_slices(pa.array(texts)):
+        ids, n = plain.encode(data, offsets)
+        assert ids.tolist() == [i for t in texts[lo:hi] for i in library_plain.encode(t, add_special_tokens=False).ids] and ids.max() < 49406
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAbz09 .,!'-\n\té×÷ß—'s"), st.characters(blacklist_categories=("Cs",))), max_size=30), max_size=5))
 def test_any_text(encoder, texts):

@@ -110,13 +110,12 @@ def test_license_scan(documents, corpus):
         w = alnum(text)
         places = [(p, label) for phrase, label in license_scan.PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split()]
         labels, best = set(), 0.0
-        for line in (text or "").split("\n"):
-            own = set(alnum(line))
-            for label, body in license_scan.TEMPLATES.items():
-                t = set(body.split())
-                if len(own & t) >= math.ceil(0.8 * len(t) - 1e-9):
-                    labels.add(label)
-                    best = max(best, len(own & t) / len(t))
+        for label, body in license_scan.TEMPLATES.items():
+            t, size = set(body.split()), math.ceil(len(body.split()) / 0.8 - 1e-9)
+            share = max((len(t & set(w[p : p + size])) / len(t) for p in range(len(w))), default=0.0)
+            if share >= math.ceil(0.8 * len(t) - 1e-9) / len(t):
+                labels.add(label)
+                best = max(best, share)
         for r in got[i]:
             assert (r["n_words"], r["n_base"]) == (len(w), len(places))
             assert r["first_word"] == min((p for p, _ in places), default=None) and r["last_word"] == max((p for p, _ in places), default=None)
@@ -186,17 +185,33 @@ def test_token_files_round_trip(spark, documents, corpus):
         assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in wanted))
 
 
-def test_token_counts(spark, documents, corpus):
+@pytest.mark.parametrize("ranged", [True, False])
+def test_token_counts(spark, documents, corpus, ranged):
+    """Every row, in every file: start and length against the library, whatever the ids."""
+    from pyspark.sql import functions as F
     from tokenizers import Tokenizer
 
     library, end = Tokenizer.from_file(tokenizer_path()), 49407
-    path = scratch_path(spark, "test-flat")
-    token_counts.write_flat(documents, path, tokenizer_path(), end, block_ids=37)
-    places = token_counts.scan(token_counts.read_flat(spark, path), end)
-    got = token_counts.document_order(spark, path).join(places, ["file", "ordinal"]).collect()
-    texts = {r[0]: r[1] or "" for r in corpus}
-    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in corpus)
-    assert all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1 and r["closed"] for r in got)
+    library.encode_special_tokens = True
+    odd = [(None, "no id"), (2**53 + 1, None), (None, "a <|endoftext|> in text"), (7, "again"), (7, "again")]
+    docs = documents.select("doc_id", "text", F.lit("x").alias("file"), F.lit(0).alias("ordinal")).unionByName(spark.createDataFrame([(i, t, "x", 0) for i, t in odd], "doc_id long, text string, file string, ordinal int"))
+    got = token_counts.count_tokens(docs, scratch_path(spark, "test-flat"), tokenizer_path(), end, 2, block_ids=37, ranged=ranged).collect()
+    length = lambda t: len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    wanted = collections.Counter((i, length(t)) for i, t, *_ in [*corpus, *odd])
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in got) == wanted
+    files = collections.defaultdict(list)
+    for r in got:
+        files[r["file"]].append((r["ordinal"], r["start"], r["n_tokens"]))
+    for rows in files.values():
+        at = 0
+        for n, (ordinal, start, size) in enumerate(sorted(rows)):
+            assert (ordinal, start) == (n, at)
+            at += size
+
+
+def test_end_id_that_texts_have_is_refused(spark, documents):
+    with pytest.raises(Exception, match="end id"):
+        token_counts.write_flat(documents.select("doc_id", "text"), scratch_path(spark, "test-flat"), tokenizer_path(), 320, 2)
 
 
 def test_token_counts_raw_files(spark, tmp_path):
@@ -204,9 +219,10 @@ def test_token_counts_raw_files(spark, tmp_path):
 
     np.array([5, 6, 0, 0, 7, 8, 9, 1, 2, 0, 4, 4], "<u2").tofile(tmp_path / "a.bin")
     np.array([], "<u2").tofile(tmp_path / "b.bin")
-    blocks = token_counts.read_flat_files(spark, f"file://{tmp_path}", 2, block_ids=4)
-    got = sorted((r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks, 0, 2).collect())
-    assert got == [(0, 0, 3, True), (1, 3, 1, True), (2, 4, 6, True), (3, 10, 2, False)]
+    for ranged in (True, False):
+        blocks = token_counts.summaries(spark, f"file://{tmp_path}", 0, 2, block_ids=4, ranged=ranged)
+        got = sorted((r["ordinal"], r["start"], r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks).collect())
+        assert got == [(0, 0, 3, True), (1, 3, 1, True), (2, 4, 6, True), (3, 10, 2, False)]
 
 
 def test_mixing(documents, corpus):
@@ -219,10 +235,24 @@ def test_mixing(documents, corpus):
         c = cells.setdefault((r["source"], r["lang"], r["topic"]), [0, r["prob"]])
         c[0] += r["n_tokens"]
     total = sum(t for t, _ in cells.values())
-    fitted = {k: p * t / total / 0.4 for k, (t, p) in cells.items()}
-    for lang, share in (("en", 0.5), ("de", 0.3)):
-        if all(p < 1 for _, p in cells.values()):
-            assert sum(v for k, v in fitted.items() if k[1] == lang) == pytest.approx(share, abs=0.02)
+    kept = collections.Counter()
+    for (_, lang, _), (t, p) in cells.items():
+        kept[lang] += p * t / total
+    assert kept["en"] == pytest.approx(0.4 * min(0.5, sum(t for k, (t, _) in cells.items() if k[1] == "en") / total / 0.4), abs=0.02)
+
+
+def test_raking_reports_and_moves_what_supply_lacks(spark):
+    """Cell (a, x) cannot give what it should; the other cells of its values make up for it."""
+    from pyspark.sql import functions as F
+
+    cells = spark.createDataFrame([("a", "x", 5), ("a", "y", 45), ("b", "x", 30), ("b", "y", 20)], "source string, lang string, tokens long")
+    fitted = mixing.rake(cells, ["source", "lang"], {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.6, "y": 0.4}}, sweeps=30, keep=0.5)
+    assert fitted.where(F.col("fitted") > F.col("share") / 0.5 + 1e-9).count() == 0
+    for r in mixing.margin_report(fitted, ["source", "lang"], 0.5).collect():
+        assert r["expected"] == pytest.approx(r["target"], abs=0.01)
+    short = mixing.rake(cells, ["lang"], {"lang": {"x": 0.9, "y": 0.1}}, keep=0.5)
+    report = {r["value"]: r for r in mixing.margin_report(short, ["lang"], 0.5).collect()}
+    assert report["x"]["expected"] < 0.9 and report["x"]["supply"] == pytest.approx(0.35)
 
 
 def test_lm_scores(documents, corpus):
@@ -292,11 +322,10 @@ def test_suffix_tree_is_a_distribution(spark):
 def test_empty_tables(spark, nothing):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     path, flat = scratch_path(spark, "none"), scratch_path(spark, "none-flat")
-    token_counts.write_flat(nothing.select("doc_id", "text"), flat, tokenizer_path(), 49407)
     results = [
         substring_dedup.substring_dedup(nothing), jaccard_join.jaccard_join(nothing), decontaminate.decontaminate(nothing, benchmark), license_scan.license_scan(nothing),
         exact_dedup.exact_dedup(nothing), language_id.identify(nothing), token_files.roundtrip(nothing, tokenizer_path(), 2, path), mixing.mix(nothing, MARGINS, TARGETS),
-        suffix_tree.score_documents(nothing), token_counts.scan(token_counts.read_flat(spark, flat), 49407),
+        suffix_tree.score_documents(nothing), token_counts.count_tokens(nothing, flat, tokenizer_path(), 49407),
     ]
     assert [r.count() for r in results] == [0] * len(results)
 
