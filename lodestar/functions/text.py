@@ -39,11 +39,14 @@ def tokens(text: Column, use_stopwords: bool = True) -> Column:
 
     ``mg/dl`` gives ``mg/dl, mg, dl``.  A stopword is dropped as a whole term and as a part.
     """
-    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
+    low = F.lower(text)
+    terms = F.regexp_extract_all(low, F.lit(f"({TOKEN_PATTERN})"), F.lit(1))
     wanted = (lambda t: ~t.isin(STOPWORDS)) if use_stopwords else (lambda t: F.lit(True))
-    parts = lambda t: F.filter(F.split(t, COMPOUND_SPLIT), lambda p: (p != "") & (p != t) & wanted(p))
     kept = F.filter(terms, wanted) if use_stopwords else terms
-    return F.flatten(F.transform(kept, lambda t: F.when(t.rlike(COMPOUND_SPLIT), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
+    joined = lambda t: t.contains("-") | t.contains("'") | t.contains("/")
+    parts = lambda t: F.filter(F.split(t, COMPOUND_SPLIT), lambda p: (p != "") & (p != t) & wanted(p))
+    expanded = F.flatten(F.transform(kept, lambda t: F.when(joined(t), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
+    return F.when(low.rlike("[a-z0-9][-'/][a-z0-9]"), expanded).otherwise(kept)  # most texts have no compound
 
 
 def jaccard(a: Column, b: Column) -> Column:

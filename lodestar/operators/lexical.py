@@ -1,7 +1,9 @@
-"""BM25 over an inverted index kept as tables.
+"""BM25, over an inverted index kept as tables or straight over chunks.
 
-``postings`` holds the finished weight of a term in a chunk, so a search is one join on the term,
-one sum and one top-k.  Nothing of the size of the corpus is broadcast or collected.
+``postings`` holds the finished weight of a term in a chunk, so a search of a saved index is one join on the
+term, one sum and one top-k.  ``search_chunks`` needs no index: for a batch of queries it reads the
+chunks once and shuffles only what the batch's terms need.  Nothing of the size of the corpus is broadcast or
+collected.
 """
 
 from __future__ import annotations
@@ -77,3 +79,42 @@ def search(index: LexicalIndex, queries: DataFrame, cfg: Lexical | None = None,
     hits = query_terms(queries, cfg.use_stopwords).join(index.postings, "term").groupBy("qid", "chunk_id").agg(F.sum("weight").alias("raw_score"))
     ranked = top_k(hits.where(F.col("raw_score") > 0), cfg.top_k, ["qid"])
     return ranked.select("qid", F.lit(source).alias("source"), "chunk_id", "raw_score", "rank")
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """Rows of a table that comes in fewer parts than there are cores, such as one small file, dealt to all of them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+#: Distinct terms of a batch that are sent to every task.
+BROADCAST_TERMS = 500_000
+#: Stands for the whole chunk among its terms; tokens are never empty.
+_EVERY = ""
+
+
+def search_chunks(chunks: DataFrame, queries: DataFrame, cfg: Lexical | None = None, source: str = "bm25", id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """The same rows as ``search`` over ``build_index`` of the chunks, in one pass over them.
+
+    Each chunk gives its length and the counts of those of its terms that some query asks for.  Both uses of these
+    counts, document frequencies and weights, read the same shuffle.
+    """
+    cfg = cfg or Lexical()
+    asked = query_terms(queries, cfg.use_stopwords)
+    wanted = asked.select("term").distinct().unionByName(chunks.sparkSession.range(1).select(F.lit(_EVERY).alias("term")))
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    tokens = T.tokens(F.coalesce(F.col(text_col), F.lit("")), cfg.use_stopwords)
+    rows = spread_out(chunks.select(F.col(id_col).alias("chunk_id"), text_col)).select("chunk_id", tokens.alias("tokens"))
+    terms = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit(_EVERY)), F.col("tokens"))).alias("term"))
+    counts = terms.join(wanted, "term", "left_semi").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # all uses need both columns, or the optimizer would prune one of them and count again
+    spread = counts.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"), F.sum("dl").alias("dl_sum")).where("dl_sum >= 0")
+    every = lambda c: F.max(F.when(F.col("term") == _EVERY, c))
+    corpus = spread.agg(every(F.col("df")).alias("n"), every(F.col("dl_sum") / F.col("df")).alias("avgdl"))
+    known = spread.join(F.broadcast(corpus)).select("term", inverse_frequency(F.col("n"), F.col("df")).alias("idf"), "avgdl")  # a single row
+    norm = cfg.k1 * (1 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl"))
+    weight = F.col("idf") * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + norm)
+    hits = asked.join(known, "term").join(counts, "term").groupBy("qid", "chunk_id").agg(F.sum(weight).alias("raw_score"))
+    ranked = top_k(hits.where(F.col("raw_score") > 0), cfg.top_k, ["qid"])
+    return ranked.select("qid", F.lit(source).alias("source"), "chunk_id", "raw_score", "rank")

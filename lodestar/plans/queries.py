@@ -60,18 +60,15 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 RAW = Lexical(k1=0.9, b=0.4, top_k=20, use_stopwords=False)
-LONG_QUERY = 200
 
 
 def bm25(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    cfg = Lexical(top_k=k)
-    return lexical.search(lexical.build_index(docs(spark, d), cfg), questions(spark, d), cfg)
+    return lexical.search_chunks(docs(spark, d), questions(spark, d), Lexical(top_k=k))
 
 
 def bm25_raw(spark: SparkSession, d: str) -> DataFrame:
-    """A second retriever that only long questions are given to."""
-    asked = questions(spark, d).where(F.length("query") > LONG_QUERY)
-    return lexical.search(lexical.build_index(docs(spark, d), RAW), asked, RAW, source="raw")
+    """A second retriever: other parameters, and stopwords kept."""
+    return lexical.search_chunks(docs(spark, d), questions(spark, d), RAW, source="raw")
 
 
 def both_rankings(spark: SparkSession, d: str) -> DataFrame:
@@ -95,19 +92,19 @@ def tok_sql(c: str, stop: bool = True) -> str:
     return f"flatten(list_transform({whole}, lambda x: CASE WHEN regexp_matches(x, '[-''/]') THEN list_concat([x], {parts}) ELSE [x] END))"
 
 
-def bm25_sql(p: str, k: int, cfg: Lexical = Lexical(), where: str = "true") -> str:
+def bm25_sql(p: str, k: int, cfg: Lexical = Lexical()) -> str:
     s = cfg.use_stopwords
     return f"""{p}_t AS MATERIALIZED (SELECT doc_id, {tok_sql('text', s)} AS toks FROM documents),
 {p}_dl AS (SELECT doc_id, len(toks) AS dl FROM {p}_t), {p}_c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}_dl),
 {p}_p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM {p}_t) GROUP BY ALL),
 {p}_f AS (SELECT term, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM {p}_p, {p}_c GROUP BY term, n),
-{p}_q AS (SELECT item_id AS qid, unnest(list_distinct({tok_sql('text', s)})) AS term FROM benchmark WHERE {where}),
+{p}_q AS (SELECT item_id AS qid, unnest(list_distinct({tok_sql('text', s)})) AS term FROM benchmark),
 {p}_s AS (SELECT qid, doc_id, sum(idf * tf * ({cfg.k1} + 1) / (tf + {cfg.k1} * (1 - {cfg.b} + {cfg.b} * dl / avgdl))) AS score
   FROM {p}_q JOIN {p}_p USING (term) JOIN {p}_f USING (term) JOIN {p}_dl USING (doc_id), {p}_c GROUP BY 1, 2),
 {p} AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {p}_s WHERE score > 0) WHERE rank <= {k})"""
 
 
-BOTH_SQL = bm25_sql("a", 20) + ",\n" + bm25_sql("b", 20, RAW, f"length(text) > {LONG_QUERY}") + """,
+BOTH_SQL = bm25_sql("a", 20) + ",\n" + bm25_sql("b", 20, RAW) + """,
 r AS (SELECT qid, 'bm25' AS source, doc_id, score, rank FROM a UNION ALL SELECT qid, 'raw', doc_id, score, rank FROM b),
 src AS (SELECT qid, count(DISTINCT source) AS n_src FROM r GROUP BY qid)"""
 
@@ -348,7 +345,7 @@ def bm25_topk(spark, d):
     return _flat(bm25(spark, d, 10))
 
 
-@register(f"WITH {bm25_sql('b', 20, RAW, f'length(text) > {LONG_QUERY}')} SELECT qid, doc_id, round(score, 6) AS score, rank FROM b")
+@register(f"WITH {bm25_sql('b', 20, RAW)} SELECT qid, doc_id, round(score, 6) AS score, rank FROM b")
 def bm25_no_stopwords(spark, d):
     return _flat(bm25_raw(spark, d))
 
@@ -434,8 +431,9 @@ def query_fan_out(spark, d):
 def reranked(spark, d) -> DataFrame:
     fused = fusion.fuse(both_rankings(spark, d))
     asked = questions(spark, d).select("qid", F.array_distinct(T.tokens(F.col("query"))).alias("qtok"))
-    texts = docs(spark, d).select("chunk_id", T.tokens(F.col("text")).alias("dtok"))
-    pool = fused.where(F.col("rank") <= POOL).join(asked, "qid").join(texts, "chunk_id").select("qid", "chunk_id", ranking.overlap_score(F.col("qtok"), F.col("dtok")).alias("own"))
+    # texts join first, so only those of a pool are tokenised
+    pool = fused.where(F.col("rank") <= POOL).join(asked, "qid").join(docs(spark, d).select("chunk_id", "text"), "chunk_id")
+    pool = pool.select("qid", "chunk_id", ranking.overlap_score(F.col("qtok"), T.tokens(F.col("text"))).alias("own"))
     return ranking.rerank(fused.join(pool, ["qid", "chunk_id"], "left"), F.col("own"), POOL).drop("own")
 
 
@@ -453,8 +451,9 @@ CONTEXT, BUDGET, SAME = 8, 900, 0.92
 
 
 def candidates(spark, d) -> DataFrame:
-    texts = docs(spark, d).select("chunk_id", T.count_chars4(F.col("text")).alias("token_count"), F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
-    return bm25(spark, d, CONTEXT).join(texts, "chunk_id").withColumn("rendered", F.col("chunk_id").cast("string"))
+    found = bm25(spark, d, CONTEXT).join(docs(spark, d).select("chunk_id", "text"), "chunk_id")
+    own = {"token_count": T.count_chars4(F.col("text")), "tokens": F.array_distinct(T.tokens(F.col("text"))), "rendered": F.col("chunk_id").cast("string")}
+    return found.withColumns(own).drop("text")
 
 
 _ITEMS_SQL = bm25_sql("a", CONTEXT) + f""",
@@ -495,8 +494,8 @@ def render_context(spark, d):
 SELECT qid, doc_id, round(CASE WHEN len(q) = 0 OR len(toks) = 0 THEN 0 ELSE len(list_intersect(q, toks)) * 1.0 / len(list_distinct(list_concat(q, toks))) END, 6) AS jaccard FROM a JOIN t USING (qid) JOIN a_t USING (doc_id)""")
 def jaccard_pairs(spark, d):
     asked = questions(spark, d).select("qid", T.tokens(F.col("query")).alias("q"))
-    texts = docs(spark, d).select("chunk_id", T.tokens(F.col("text")).alias("t"))
-    return bm25(spark, d, 10).join(asked, "qid").join(texts, "chunk_id").select("qid", F.col("chunk_id").alias("doc_id"), F.round(T.jaccard(F.col("q"), F.col("t")), 6).alias("jaccard"))
+    found = bm25(spark, d, 10).join(asked, "qid").join(docs(spark, d).select("chunk_id", "text"), "chunk_id")
+    return found.select("qid", F.col("chunk_id").alias("doc_id"), T.tokens(F.col("text")).alias("t"), "q").select("qid", "doc_id", F.round(T.jaccard(F.col("q"), F.col("t")), 6).alias("jaccard"))
 
 
 # ---------------------------------------------------------------- golden labels and metrics
