@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestar.config import Chunking, Config, Lexical
 from lodestar.functions import text as T
 from lodestar.operators import chunking, dense, failures, fusion, generation, golden, judging, lexical, metrics, ranking, telemetry
-from lodestar.plans import evaluation
+from lodestar.plans import chunk_sql, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -285,35 +285,34 @@ def sectioned(spark, d) -> DataFrame:
 
 
 _SECTION_CHUNKING = Chunking(target_tokens=60, overlap_tokens=10, min_tokens=8)
+_CHUNK_COLUMNS = "SELECT substr(sha1(doc_id || '::' || ordinal || '::' || text), 1, 16) AS chunk_id, doc_id, ordinal, text, token_count FROM chunks"
+_STRUCTURE_SQL = chunk_sql.structure(60, 10, 8)
 
 
-@register()
+@register(f"WITH RECURSIVE {_STRUCTURE_SQL} {_CHUNK_COLUMNS}")
 def chunk_structure(spark, d):
     return chunking.chunk_documents(sectioned(spark, d), _SECTION_CHUNKING, "words").drop("section")
 
 
-@register()
+@register(f"WITH RECURSIVE {chunk_sql.fixed(60, 10, 8)} {_CHUNK_COLUMNS}")
 def chunk_fixed(spark, d):
     cfg = Chunking(strategy="fixed", target_tokens=60, overlap_tokens=10, min_tokens=8)
     return chunking.chunk_documents(sectioned(spark, d), cfg, "words").drop("section")
 
 
-@register()
+@register(f"""WITH RECURSIVE {_STRUCTURE_SQL} SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, round(avg(token_count), 6) AS mean_tokens,
+min(token_count) AS min_tokens, max(token_count) AS max_tokens, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)) AS n_dropped FROM chunks""")
 def chunk_statistics(spark, d):
     source = sectioned(spark, d)
     return chunking.chunk_statistics(source, chunking.chunk_documents(source, _SECTION_CHUNKING, "words")).withColumns(r6("mean_tokens"))
 
 
-@register("""WITH w AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents),
-p AS (SELECT doc_id, list_reduce(list_transform(list_filter(s, lambda x: len(regexp_extract_all(x, '\\S+')) > 0), lambda x: {'n': len(regexp_extract_all(x, '\\S+')), 'x': 0}),
- lambda a, v: {'n': CASE WHEN a.n > 0 AND a.n + v.n > 100000000 THEN v.n ELSE a.n + v.n END, 'x': a.x + 1}, {'n': 0, 'x': 0}) AS r FROM w)
-SELECT doc_id, CAST(r.n AS BIGINT) AS n_words, CAST(r.x AS BIGINT) AS n_lines FROM p""")
+@register(f"WITH RECURSIVE {chunk_sql.fixed(40, 25, 0)} SELECT doc_id, ordinal, token_count, md5(text) AS digest FROM chunks")
 def greedy_pack(spark, d):
-    """With a target no document reaches, all lines make one window: nothing is lost in packing."""
-    cfg = Chunking(target_tokens=100_000_000, overlap_tokens=0, min_tokens=0)
+    """Windows of 40 words that carry up to half of the target on; sentences above it are cut by words."""
+    cfg = Chunking(strategy="fixed", target_tokens=40, overlap_tokens=25, min_tokens=0)
     packed = chunking.chunk_documents(sectioned(spark, d), cfg, "words")
-    own = packed.groupBy("doc_id").agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)))).alias("n_words"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"(?s)(\S.*?(?:\n\n|$))"), F.lit(1)))).alias("n_lines"))
-    return table(spark, d, "documents").select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    return packed.select("doc_id", "ordinal", "token_count", F.md5("text").alias("digest"))
 
 
 # ---------------------------------------------------------------- lexical, dense
