@@ -65,16 +65,27 @@ def related(vectors: DataFrame, wanted: DataFrame, id_col: str = "chunk_id", doc
     return found.select("qid", id_col, "raw_score", "rank")
 
 
+#: Chunks of a term among which partners are drawn; a term that more have is split by the chunks' hashes.
+TERM_BUCKET = 1000
+
+
 def sharing_terms(chunks: DataFrame, size: int, seed: str, id_col: str = "chunk_id", terms: str = "terms") -> DataFrame:
     """(id, group): each chunk with ``size - 1`` others that share a term, if there are so many.
 
-    Of a term's chunks only the first ``size`` in the shuffled order can be chosen, so a term that
-    a third of all chunks have is as cheap as a rare one.
+    Within a term the chunks stand in a circle in shuffled order, and each is offered the ones that follow it; so all
+    chunks of a frequent term become partners, and it takes ``size - 1`` rows a chunk like a rare one.
     """
     held = chunks.select(id_col, F.explode(F.array_distinct(terms)).alias("term"), shuffled(chunks, id_col, seed).alias("h"))
-    first = Window.partitionBy("term").orderBy("h", id_col)
-    offered = held.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= size).select("term", F.col(id_col).alias("other"), "h")
-    pairs = held.select("term", id_col).join(offered, "term").where(F.col(id_col) != F.col("other")).groupBy(id_col, "other").agg(F.min("h").alias("h"))
+    number = F.conv(F.substring("h", 9, 6), 16, 10).cast("long")
+    held = held.join(held.groupBy("term").agg(F.count("*").alias("n")), "term").withColumn("b", number % F.ceil(F.col("n") / TERM_BUCKET))
+    circle = Window.partitionBy("term", "b")
+    placed = held.withColumn("nth", F.row_number().over(circle.orderBy("h", id_col))).withColumn("c", F.count("*").over(circle))
+    steps = placed.where("c > 1").select("term", "b", id_col, "nth", "c", F.explode(F.sequence(F.lit(1), F.least(F.lit(size - 1), F.col("c") - 1))).alias("j"))
+    wanted = steps.select("term", "b", id_col, ((F.col("nth") - 1 + F.col("j")) % F.col("c") + 1).cast("int").alias("nth"))
+    offered = placed.select("term", "b", "nth", F.col(id_col).alias("other"), "h")
+    # partners are drawn anew for each chunk, by a hash of both
+    drawn = F.md5(F.concat("h", F.col(id_col).cast("string")))
+    pairs = wanted.join(offered, ["term", "b", "nth"]).where(F.col(id_col) != F.col("other")).groupBy(id_col, "other").agg(F.min(drawn).alias("h"))
     best = Window.partitionBy(id_col).orderBy("h", "other")
     chosen = pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") < size)
     groups = chosen.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "other"))), lambda s: s["other"]).alias("others"))

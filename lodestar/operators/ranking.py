@@ -88,11 +88,13 @@ def render_context(items: Column) -> Column:
 def assemble(ranked: DataFrame, budget: int = 3000, threshold: float = 0.92, ordering: str = "edges", vectors: bool = False) -> DataFrame:
     """``ranked(qid, rank, chunk_id, token_count, rendered, tokens | embedding)`` to one context per query.
 
+    With ``vectors`` the rows have both, and a query of which any row lacks its embedding is deduplicated by tokens.
     (qid, context_ids, context_text, n_candidates, n_duplicates, n_over_budget, n_selected, tokens_used).
     """
     columns = [c for c in ("chunk_id", "token_count", "rendered", "tokens", "embedding") if c in ranked.columns]
     rows = candidate_arrays(ranked, columns)
-    rows = rows.withColumn("unique", deduplicate(F.col("items"), threshold, vectors)).withColumn("kept", within_budget(F.col("unique"), budget))
+    own = deduplicate_either(F.col("items"), threshold) if vectors else deduplicate(F.col("items"), threshold)
+    rows = rows.withColumn("unique", own).withColumn("kept", within_budget(F.col("unique"), budget))
     ordered = edge_order(F.col("kept"), ordering)
     return rows.select(
         "qid", F.transform(ordered, lambda x: x["chunk_id"]).alias("context_ids"), render_context(ordered).alias("context_text"), F.size("items").alias("n_candidates"),

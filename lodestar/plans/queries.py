@@ -17,6 +17,8 @@ from lodestar.config import Chunking, Config, Lexical
 from lodestar.functions import text as T
 from lodestar.operators import chunking, dense, failures, fusion, generation, golden, judging, lexical, metrics, ranking, telemetry
 from lodestar.plans import chunk_sql, evaluation
+from lodestar.plans.index import CorpusIndex
+from lodestar.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,18 +160,25 @@ def sentence_split(spark, d):
 _SPACE = "E' \\n\\t\\r\\f\\x0B'"
 
 
-@register(f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis') AS h FROM pages),
+HTML_SQL = f"""a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis') AS h FROM pages),
 b AS (SELECT page_id, string_split(regexp_replace(h, '<h[1-4][^>]*>(.*?)</h[1-4]>', E'\\n\\n## ' || chr(1) || '\\1' || chr(1) || E'\\n\\n', 'gis'), chr(1)) AS p FROM a),
 c AS (SELECT page_id, array_to_string(list_transform(p, lambda x, i: regexp_replace(x, '<[^>]+>', CASE WHEN i % 2 = 0 THEN '' ELSE ' ' END, 'g')), '') AS t FROM b),
 u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM c),
-s AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), {_SPACE} || chr(160)) AS t FROM u)
-SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM s""")
+s AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), {_SPACE} || chr(160)) AS t FROM u)"""
+
+
+@register(f"WITH {HTML_SQL} SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM s")
 def html_text(spark, d):
     t = T.html_to_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@register()
+@register(f"""WITH {HTML_SQL},
+sm AS (SELECT page_id, string_split(regexp_replace(t, '(?m)^#{{1,4}}\\s+(.+?)\\s*$', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM s),
+sl AS (SELECT page_id, len(p) AS n, list_concat([{{'heading': NULL, 'text': p[1]}}], list_transform(range(1, len(p) // 2 + 1), lambda i: {{'heading': trim(p[2 * i], {_SPACE}), 'text': p[2 * i + 1]}})) AS x FROM sm),
+sc AS (SELECT page_id, n, list_transform(x, lambda v: {{'heading': v.heading, 'text': trim(regexp_replace(regexp_replace(v.text, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), {_SPACE} || chr(160))}}) AS x FROM sl),
+sf AS (SELECT page_id, CASE WHEN n = 1 THEN x ELSE list_filter(x, lambda v: v.text <> '') END AS x FROM sc)
+SELECT page_id, unnest(range(0, len(x))) AS ordinal, unnest(list_transform(x, lambda v: v.heading)) AS heading, unnest(list_transform(x, lambda v: v.text)) AS text FROM sf""")
 def html_sections(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(T.html_sections(F.col("html"))).alias("ordinal", "s")).select("page_id", "ordinal", "s.heading", "s.text")
 
@@ -232,12 +241,12 @@ def degenerate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_degenerate(F.expr("concat(text, repeat('@', cast(doc_id % 20 as int)))")).alias("degenerate"))
 
 
-@register("""SELECT doc_id, array_to_string([t FOR t IN list_distinct_ordered], ';') AS tags FROM (
-SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(k), lambda x: {'i': list_position(k, x), 'x': x})), lambda s: s.x) AS list_distinct_ordered FROM (
-SELECT doc_id, list_filter(['doc ' || doc_id, 'made up', source, 'doc ' || doc_id, lang], lambda x: list_contains(['doc ' || doc_id, lang, source], x)) AS k FROM documents))""")
+@register("""WITH a AS (SELECT doc_id, ['doc ' || doc_id, lang, source] AS valid, text || ' a [doc ' || doc_id || '] b [made up] [ ' || source || ' ] [doc ' || doc_id || '] [' || lang || ']' AS answer FROM documents),
+t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(answer, '\\[([^\\]]+?)\\]', 1), lambda x: trim(x, E' \\n\\t\\r')), lambda x: list_contains(valid, x)) AS k FROM a)
+SELECT doc_id, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), ';') AS tags FROM t""")
 def citations(spark, d):
     tag = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
-    answer = F.concat(F.substring("text", 1, 0), F.lit("a ["), tag, F.lit("] b [made up] [ "), "source", F.lit(" ] ["), tag, F.lit("] ["), "lang", F.lit("]"))
+    answer = F.concat("text", F.lit(" a ["), tag, F.lit("] b [made up] [ "), "source", F.lit(" ] ["), tag, F.lit("] ["), "lang", F.lit("]"))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.citations(answer, F.array(tag, "lang", "source")), ";").alias("tags"))
 
 
@@ -270,10 +279,22 @@ def chunk_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", T.chunk_id(F.col("doc_id").cast("string"), F.lit(0), F.col("text")).alias("chunk_id"))
 
 
-@register("SELECT question, min(conv_id) AS conv_id, count(*) AS n FROM (SELECT conv_id, text AS question FROM conversations WHERE role = 'user') GROUP BY question")
+def found_documents(spark, d) -> DataFrame:
+    """Search results: a turn's text is a document's id, a conversation a query, its turns the places."""
+    return table(spark, d, "conversations").select(F.col("text").alias("doc_id"), F.col("conv_id").alias("query_ordinal"), F.col("turn").alias("place"))
+
+
+@register("""SELECT doc_id, query_ordinal, place FROM (SELECT text AS doc_id, conv_id AS query_ordinal, turn AS place, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS nth FROM conversations) WHERE nth = 1""")
 def doc_dedupe(spark, d):
-    turns = table(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question"), "conv_id")
-    return turns.groupBy("question").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n"))
+    return files.distinct_documents(found_documents(spark, d), "query_ordinal", "place")
+
+
+@register("""SELECT doc_id, query_ordinal, place FROM (SELECT text AS doc_id, conv_id AS query_ordinal, turn AS place, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS nth FROM conversations) x
+WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.role = 'assistant' AND c.text = x.doc_id)""")
+def corpus_ids_to_fetch(spark, d):
+    """What assistants said stands for documents that are held already."""
+    held = table(spark, d, "conversations").where("role = 'assistant'").select(F.col("text").alias("doc_id"))
+    return files.ids_to_fetch(found_documents(spark, d), held)
 
 
 # ---------------------------------------------------------------- chunking
@@ -318,11 +339,13 @@ def greedy_pack(spark, d):
 # ---------------------------------------------------------------- lexical, dense
 
 
-@register(f"""WITH {bm25_sql('a', 10)} SELECT count(*) AS n_chunks, round(avg(dl), 6) AS avgdl, min(dl) AS min_dl, max(dl) AS max_dl, (SELECT count(*) FROM a_f) AS n_terms FROM a_dl""")
+@register(f"""WITH {bm25_sql('a', 10)}, n AS (SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_documents, round(avg(greatest(1, length(text) // 4)), 6) AS mean_tokens, min(greatest(1, length(text) // 4)) AS min_tokens, max(greatest(1, length(text) // 4)) AS max_tokens FROM documents)
+SELECT n.*, (SELECT count(*) FROM a_f) AS n_terms, (SELECT max(len(embedding)) FROM embeddings) AS dimension FROM n""")
 def corpus_stats(spark, d):
-    index = lexical.build_index(docs(spark, d))
-    own = index.lengths.agg(F.count("*").alias("n_chunks"), F.round(F.avg("dl"), 6).alias("avgdl"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
-    return own.join(index.terms.agg(F.count("*").alias("n_terms")))
+    """Sources stand for documents of several chunks."""
+    chunks = docs(spark, d).withColumns({"doc_id": F.col("source_type"), "token_count": T.count_chars4(F.col("text"))})
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return CorpusIndex.build(chunks, Config(), vectors).statistics().withColumns(r6("mean_tokens"))
 
 
 @register("SELECT source AS source_type, count(*) AS n FROM documents GROUP BY source")
@@ -410,6 +433,27 @@ def single_source_passthrough(spark, d):
     return _fused(fusion.fuse(both_rankings(spark, d)))
 
 
+def dense_documents(spark, d) -> DataFrame:
+    """Vectors whose number is a document's or a question's stand for them."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs(spark, d).select("chunk_id"), "chunk_id", "left_semi")
+    asked = questions(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid").select("qid", "embedding")
+    return dense.search(vectors, asked, 20)
+
+
+DENSE_SQL = f"""dv AS (SELECT b.item_id AS qid, v.vec_id AS doc_id, {_DOT} AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents)),
+dn AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dv) WHERE rank <= 20)"""
+
+
+@register(f"""WITH {bm25_sql('a', 20)}, {DENSE_SQL},
+r AS (SELECT qid, 'bm25' AS source, doc_id, score, rank FROM a UNION ALL SELECT qid, 'dense', doc_id, score, rank FROM dn), src AS (SELECT qid, count(DISTINCT source) AS n_src FROM r GROUP BY qid),
+m AS (SELECT qid, doc_id, sum(1.0 / (60 + rank)) AS score FROM r JOIN src USING (qid) WHERE n_src > 1 GROUP BY 1, 2),
+fused AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM m UNION ALL SELECT qid, doc_id, score, rank FROM r JOIN src USING (qid) WHERE n_src = 1)
+SELECT qid, doc_id, round(score, 6) AS score, rank FROM fused""")
+def hybrid_fusion(spark, d):
+    """Lexical and dense rankings fused; a question without a vector keeps its lexical one."""
+    return _fused(fusion.fuse(bm25(spark, d).unionByName(dense_documents(spark, d))))
+
+
 @register("""WITH v AS (SELECT conv_id AS qid, turn AS ordinal, text AS query FROM conversations WHERE role = 'user'),
 k AS (SELECT *, lower(trim(query)) AS key FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY ordinal) AS nth FROM k WHERE key <> '' OR ordinal = 0),
 p AS (SELECT qid, query, row_number() OVER (PARTITION BY qid ORDER BY ordinal) - 1 AS query_idx FROM f WHERE nth = 1)
@@ -468,6 +512,22 @@ def greedy_dedup(spark, d):
     return items.select("qid", F.explode(F.transform(ranking.deduplicate(F.col("items"), SAME), lambda x: x["chunk_id"])).alias("doc_id"))
 
 
+ALIKE = 0.25
+_EITHER_SQL = f"""{bm25_sql("a", CONTEXT)},
+i AS (SELECT qid, list({{'rank': rank, 'id': doc_id, 'toks': list_distinct(toks), 'e': embedding}} ORDER BY rank) AS items FROM a JOIN a_t USING (doc_id) LEFT JOIN embeddings ON vec_id = doc_id GROUP BY qid),
+y AS (SELECT qid, items, len(list_filter(items, lambda x: x.e IS NULL)) = 0 AS whole FROM i),
+k AS (SELECT qid, list_reduce(list_transform(items, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda y: CASE WHEN whole THEN list_sum(list_transform(range(1, 65), lambda j: CAST(y.e[j] AS DOUBLE) * CAST(x[1].e[j] AS DOUBLE))) >= {ALIKE}
+  ELSE len(y.toks) > 0 AND len(x[1].toks) > 0 AND len(list_intersect(y.toks, x[1].toks)) * 1.0 / len(list_distinct(list_concat(y.toks, x[1].toks))) >= {ALIKE} END)) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM y)"""
+
+
+@register(f"WITH {_EITHER_SQL} SELECT qid, unnest(list_transform(kept, lambda x: x.id)) AS doc_id FROM k")
+def vector_dedup(spark, d):
+    """By vectors where all candidates of a question have one, else by tokens."""
+    rows = candidates(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+    items = ranking.candidate_arrays(rows, ["chunk_id", "tokens", "embedding"])
+    return items.select("qid", F.explode(F.transform(ranking.deduplicate_either(F.col("items"), ALIKE), lambda x: x["chunk_id"])).alias("doc_id"))
+
+
 @register(f"""WITH {_ITEMS_SQL}, b AS (SELECT qid, list_reduce(list_transform(items, lambda x: {{'u': 0::BIGINT, 'ids': [x.id], 'tc': x.tc}}), lambda a, x: CASE WHEN a.u + x.tc <= {BUDGET} THEN {{'u': a.u + x.tc, 'ids': list_concat(a.ids, x.ids), 'tc': 0::BIGINT}} ELSE a END, {{'u': 0::BIGINT, 'ids': []::BIGINT[], 'tc': 0::BIGINT}}) AS r FROM i)
 SELECT qid, r.u AS used, len(r.ids) AS n_kept, array_to_string(r.ids, ',') AS ids FROM b""")
 def token_budget(spark, d):
@@ -483,7 +543,9 @@ def edge_order(spark, d):
     return items.select("qid", F.array_join(F.transform(ranking.edge_order(F.col("items")), lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))
 
 
-@register()
+@register(f"""WITH {_KEPT_SQL}, b AS (SELECT qid, len(items) AS n_candidates, len(kept) AS n_kept, list_reduce(list_transform(kept, lambda x: {{'u': 0::BIGINT, 'ids': [x.id], 'tc': x.tc}}), lambda a, x: CASE WHEN a.u + x.tc <= {BUDGET} THEN {{'u': a.u + x.tc, 'ids': list_concat(a.ids, x.ids), 'tc': 0::BIGINT}} ELSE a END, {{'u': 0::BIGINT, 'ids': []::BIGINT[], 'tc': 0::BIGINT}}) AS r FROM k),
+o AS (SELECT *, CASE WHEN len(r.ids) <= 2 THEN r.ids ELSE list_concat(list_filter(r.ids, lambda x, i: i % 2 = 1), list_reverse(list_filter(r.ids, lambda x, i: i % 2 = 0))) END AS ids FROM b)
+SELECT qid, array_to_string(ids, ',') AS ids, array_to_string(ids, E'\\n\\n---\\n\\n') AS context_text, n_candidates, n_candidates - n_kept AS n_duplicates, n_kept - len(ids) AS n_over_budget, len(ids) AS n_selected, r.u AS tokens_used FROM o""")
 def render_context(spark, d):
     out = ranking.assemble(candidates(spark, d), BUDGET, SAME)
     return out.select("qid", F.array_join(F.transform("context_ids", lambda x: x.cast("string")), ",").alias("ids"), "context_text", "n_candidates", "n_duplicates", "n_over_budget", "n_selected", "tokens_used")
@@ -558,20 +620,23 @@ def gold_integrity(spark, d):
     return golden.missing_gold(items, table(spark, d, "labels"), "doc_id")
 
 
-@register(f"WITH {GOLD_SQL}, s AS (SELECT qid, count(DISTINCT source) AS n_documents, count(*) AS n FROM g JOIN documents USING (doc_id) GROUP BY qid) SELECT qid, n_documents FROM s WHERE n > 1 AND n_documents < 2")
+@register("""SELECT conv_id AS qid, count(DISTINCT length(text) % 3) AS n_documents FROM conversations WHERE role = 'user' GROUP BY conv_id HAVING count(DISTINCT length(text) % 3) < 2""")
 def multihop_check(spark, d):
-    """Sources stand for documents, so that some items with several labels fail."""
-    items = gold(spark, d).withColumn("question_type", F.when(F.col("question_type") == "aggregation", "multi_hop").otherwise(F.col("question_type")))
-    chunks = docs(spark, d).select("chunk_id", F.col("source_type").alias("doc_id"))
-    return golden.single_document_multi_hop(items, chunks)
+    """A conversation's user turns are an item's gold chunks; the length of a turn modulo 3 stands for its document."""
+    turns = table(spark, d, "conversations").where("role = 'user'").withColumn("chunk_id", F.col("conv_id") * 100_000 + F.col("turn"))
+    items = turns.groupBy(F.col("conv_id").alias("qid")).agg(F.collect_list("chunk_id").alias("gold_chunk_ids")).withColumn("question_type", F.lit("multi_hop"))
+    return golden.single_document_multi_hop(items, turns.select("chunk_id", (F.length("text") % 3).alias("doc_id")))
 
 
 @register("""WITH h AS (SELECT p_partkey AS id, p_brand AS term, md5('g:' || p_partkey) AS h FROM part UNION SELECT p_partkey, p_type, md5('g:' || p_partkey) FROM part),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY h, id) AS nth FROM h) WHERE nth <= 4),
-p AS (SELECT a.id, b.id AS other, min(b.h) AS h FROM h a JOIN o b USING (term) WHERE a.id <> b.id GROUP BY 1, 2),
+t AS (SELECT term, count(*) AS n FROM h GROUP BY term),
+s AS (SELECT h.*, CAST('0x' || substr(h, 9, 6) AS BIGINT) % CAST(ceil(n / 1000) AS BIGINT) AS b FROM h JOIN t USING (term)),
+l AS (SELECT *, row_number() OVER (PARTITION BY term, b ORDER BY h, id) AS nth, count(*) OVER (PARTITION BY term, b) AS c FROM s),
+w AS (SELECT term, b, id, (nth - 1 + j) % c + 1 AS nth FROM (SELECT *, unnest(range(1, least(4, c))) AS j FROM l)),
+p AS (SELECT w.id, l.id AS other, min(md5(l.h || w.id)) AS h FROM w JOIN l ON w.term = l.term AND w.b = l.b AND w.nth = l.nth WHERE w.id <> l.id GROUP BY 1, 2),
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY h, other) AS nth FROM p) WHERE nth < 4),
-l AS (SELECT id, count(*) AS n, string_agg(other, ',' ORDER BY nth) AS others FROM c GROUP BY id)
-SELECT id AS p_partkey, id || ',' || others AS members FROM l WHERE n = 3""")
+o AS (SELECT id, count(*) AS n, string_agg(other, ',' ORDER BY nth) AS others FROM c GROUP BY id)
+SELECT id AS p_partkey, id || ',' || others AS members FROM o WHERE n = 3""")
 def aggregation_groups(spark, d):
     parts = table(spark, d, "part").select("p_partkey", F.array("p_brand", "p_type").alias("terms"))
     groups = golden.sharing_terms(parts, 4, "g", "p_partkey")
@@ -649,9 +714,13 @@ def abstention_rescore(spark, d):
     return generation.rescore_abstention(rows).select("qid.conv_id", "qid.turn", "abstained", "correct")
 
 
-@register("SELECT item_id AS qid, length(text) > 0 AND contains('QUESTION: ' || text, text) AS asks FROM benchmark")
+_PROMPT_SQL = "'" + generation.TEMPLATE.replace("'", "''").replace("{sentinel}", T.ABSTENTION_SENTINEL).replace("{context}", "' || '[doc ' || item_id || '] ' || text || '").replace("{question}", "' || text || '") + "'"
+
+
+@register(f"SELECT item_id AS qid, length({_PROMPT_SQL}) AS n_chars, md5({_PROMPT_SQL}) AS digest FROM benchmark")
 def build_prompt(spark, d):
-    return questions(spark, d).select("qid", F.contains(generation.prompt(F.col("query"), F.lit("none")), F.concat(F.lit("QUESTION: "), "query")).alias("asks"))
+    own = questions(spark, d).select("qid", generation.prompt(F.col("query"), F.concat(F.lit("[doc "), F.col("qid").cast("string"), F.lit("] "), "query")).alias("p"))
+    return own.select("qid", F.length("p").alias("n_chars"), F.md5("p").alias("digest"))
 
 
 def human_labels(spark, d) -> DataFrame:

@@ -142,9 +142,18 @@ def read_literature_xml(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, schemas.DOCUMENTS)
 
 
-def distinct_documents(docs: DataFrame, order_col: str = "query_ordinal") -> DataFrame:
-    """One row per doc_id, that of the first query which found it."""
+def distinct_documents(docs: DataFrame, *order: str) -> DataFrame:
+    """One row per doc_id, that of the first query which found it (``order``, by default its ordinal)."""
     from pyspark.sql import Window
 
-    first = Window.partitionBy("doc_id").orderBy(order_col)
+    first = Window.partitionBy("doc_id").orderBy(*(order or ("query_ordinal",)))
     return docs.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+
+
+def ids_to_fetch(found: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``found(doc_id, query_ordinal, place)`` of several searches to the ids that must be fetched.
+
+    Each id once, by the query that found it first, and none that ``held(doc_id)`` has already.
+    """
+    once = distinct_documents(found, "query_ordinal", "place")
+    return once if held is None else once.join(held.select("doc_id").distinct(), "doc_id", "left_anti")
