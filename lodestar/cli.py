@@ -5,13 +5,14 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lodestar import schemas
 from lodestar.config import Config
-from lodestar.operators import golden, judging
+from lodestar.operators import judging
 from lodestar.operators.chunking import chunk_documents
-from lodestar.plans import evaluation
+from lodestar.operators.generation import build_model
+from lodestar.operators.telemetry import Clock
+from lodestar.plans import evaluation, golden_set
 from lodestar.plans.index import CorpusIndex
 from lodestar.plans.retrieval import retrieve
 from lodestar.sources import files
@@ -44,7 +45,10 @@ def main(argv: list[str] | None = None) -> int:
         chunks = chunk_documents(spark.read.schema(schemas.DOCUMENTS).parquet(args.documents), cfg.chunking)
         CorpusIndex.build(chunks, cfg).validate().save(args.out)
     elif args.step == "golden":
-        golden.seeds(CorpusIndex.load(spark, args.index, cfg, strict=False).chunks, golden.Quotas()).write.mode("overwrite").parquet(args.out)
+        index = CorpusIndex.load(spark, args.index, cfg, strict=False)
+        built = golden_set.build(index, build_model(cfg.generation.provider, cfg.generation.model))
+        files.write_jsonl(built.items, args.out)
+        print(evaluation.markdown(built.report))
     elif args.step == "ask":
         asked = spark.createDataFrame([("q", args.question)], "qid string, query string")
         retrieve(CorpusIndex.load(spark, args.index, cfg), asked, cfg).contexts.select("context_text").show(truncate=False)
@@ -56,9 +60,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.step == "ablate":
             print(evaluation.markdown(evaluation.ablation(index, items, cfg)))
         else:
-            done = evaluation.run(index, items, cfg)
-            print(evaluation.markdown(done.totals))
-            failed = evaluation.gates(done.totals.withColumn("faithfulness", F.lit(None)).withColumn("p95_ms", F.lit(None)), cfg).where("NOT passed")
+            model = build_model(cfg.generation.provider, cfg.generation.model)
+            done = evaluation.run(index, items, cfg, model=model, judge=model, clock=Clock())
+            for part in (done.totals, done.quality, done.latency, evaluation.failure_report(done.records, done.items)[0]):
+                if part is not None:
+                    print(evaluation.markdown(part))
+            failed = evaluation.gates(evaluation.gate_inputs(done), cfg).where("NOT passed")
             return 1 if failed.limit(1).count() else 0
     return 0
 

@@ -8,8 +8,9 @@ by Column expressions.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from typing import Protocol
+import re
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,17 +88,20 @@ class HttpModel:
             return False
         return any(n == self.model or n.split(":")[0] == self.model for n in names)
 
-    def complete(self, prompt: str, system: str | None = None) -> str:
+    def _attempts(self, prompt: str, system: str | None, json_mode: bool, read: Callable[[str], Any]) -> Any:
+        """What ``read`` makes of the first response that it accepts."""
         import time
 
         messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
         body = {"model": self.model, "messages": messages, "stream": False, "options": {"temperature": 0.0, "num_predict": self.max_tokens, "num_ctx": self.context}}
+        if json_mode:
+            body["format"] = "json"
         last: Exception | None = None
         for attempt in range(1, self.attempts + 1):
             try:
                 text = (self._send("/api/chat", body).get("message") or {}).get("content", "")
                 if text.strip():
-                    return text
+                    return read(text)
                 last = ModelError("empty response")
             except Exception as error:
                 last = error
@@ -105,6 +109,87 @@ class HttpModel:
                 time.sleep(self.pause * attempt)
         raise ModelError(f"no response after {self.attempts} attempts: {last}")
 
+    def complete(self, prompt: str, system: str | None = None) -> str:
+        return self._attempts(prompt, system, False, str)
+
+    def complete_json(self, prompt: str, system: str | None = None) -> Any:
+        """A response that is cut off or no JSON is asked for again."""
+        return self._attempts(prompt, system, True, read_json)
+
+
+def read_json(text: str) -> Any:
+    """The JSON in a response: fenced block, whole text, outermost braces, brackets."""
+    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
+    spans = [text[text.find(a) : text.rfind(b) + 1] for a, b in ("{}", "[]") if 0 <= text.find(a) < text.rfind(b)]
+    for candidate in [*([fenced.group(1)] if fenced else []), text, *spans]:
+        try:
+            return json.loads(candidate)
+        except ValueError:
+            continue
+    raise ModelError(f"no JSON in {text[:80]!r}")
+
+
+def ask_json(model: LanguageModel, prompt: str, system: str | None = None) -> Any:
+    """In JSON mode where the model has one."""
+    own = getattr(model, "complete_json", None)
+    return own(prompt, system) if own else read_json(model.complete(prompt, system))
+
+
+def with_responses(rows: DataFrame, prompts: dict[str, Column], model: LanguageModel, system: str | None = None) -> DataFrame:
+    """For each name a column with the model's JSON response to that prompt, and ``<name>_error``.
+
+    A null prompt is not asked; a response that fails leaves its own columns null and an error, and no others.
+    """
+    names, kinds = rows.columns, list(prompts)
+    asked = rows.select("*", *[p.alias(f"__prompt_{n}") for n, p in prompts.items()])
+
+    def one(prompt: str | None) -> tuple[str | None, str | None]:
+        if prompt is None:
+            return None, None
+        try:
+            return json.dumps(ask_json(model, prompt, system)), None
+        except ModelError as error:
+            return None, str(error)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = part[names].copy()
+            for n in kinds:
+                got = [one(p) for p in part[f"__prompt_{n}"]]
+                out[n] = pd.Series([r for r, _ in got], dtype=object, index=part.index)
+                out[f"{n}_error"] = pd.Series([e for _, e in got], dtype=object, index=part.index)
+            yield out
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{n} string, {n}_error string" for n in prompts]
+    return asked.mapInPandas(run, ", ".join(fields))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A prompt template with columns for its ``{names}``."""
+    return F.concat(*[values[p[1:-1]] if p[1:-1] in values and p[:1] == "{" else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p])
+
+
+REWRITE = (
+    "Write {n} other search queries for the question below: one in formal terms with names spelled out, one in everyday words, "
+    'one about the exact quantity that is asked for. Do not answer it.\nReply with JSON: {"queries": ["...", "..."]}\n\nQUESTION: {question}'
+)
+
+
+def rewrite(queries: DataFrame, model: LanguageModel, max_queries: int = 3) -> DataFrame | None:
+    """``queries(qid, query)`` to variants (qid, ordinal, query), as ``fusion.distinct_variants`` takes them beside the originals.
+
+    None where no variant could be made: one query is enough, or there is no model.  A failure or a malformed
+    response gives its question no variants; entries that are not text are passed over.
+    """
+    if max_queries <= 1 or not model.available():
+        return None
+    asked = with_responses(queries.select("qid", "query"), {"response": filled(REWRITE, n=F.lit(str(max_queries - 1)), question=F.col("query"))}, model)
+    listed = F.from_json("response", "struct<queries:string>")["queries"]
+    whole = F.when(F.substring(T.strip(F.col("response")), 1, 1) == "[", F.col("response")).otherwise(listed)
+    raw = F.from_json(whole, "array<variant>")
+    texts = F.transform(F.filter(raw, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    return asked.select("qid", F.posexplode(texts).alias("ordinal", "query")).where(F.length(T.strip(F.col("query"))) > 0).select("qid", "ordinal", T.strip(F.col("query")).alias("query"))
+
 
 def build_model(provider: str, model: str = "", **options) -> LanguageModel:
     if provider == "null":
@@ -125,7 +210,7 @@ def answer(rows: DataFrame, model: LanguageModel) -> DataFrame:
     Without context the answer is a refusal and the model is not called.
     """
     blank = F.length(T.strip(F.coalesce("context_text", F.lit("")))) == 0
-    refusal = f"{T.ABSTENTION_SENTINEL}: no source passages were retrieved for this question."
+    refusal = f"{T.ABSTENTION_SENTINEL}: nothing was found that bears on this question."
     empty = rows.where(blank).withColumn("answer", F.lit(refusal)).withColumn("error", F.lit(None).cast("string"))
     full = rows.where(~blank).withColumn("prompt", prompt(F.col("question"), F.col("context_text")))
     names = rows.columns
@@ -180,6 +265,32 @@ def context_precision(response: Column, n_passages: Column) -> Column:
     return F.when(n_passages == 0, F.lit(0.0)).otherwise(F.try_divide(F.size(F.filter(first, lambda u: u)), F.size(first)))
 
 
+JUDGE_SYSTEM = "You grade answers. Be strict, and reply with JSON only."
+CLAIMS_PROMPT = (
+    "List each factual claim of the answer and say whether the passages support it.\n"
+    'Reply with {"claims": [{"claim": "...", "verdict": "supported|unsupported|contradicted"}]}.\n\nPASSAGES:\n{context}\n\nANSWER:\n{answer}'
+)
+RELEVANCE_PROMPT = 'How well does the answer address the question, from 0 to 1? Reply with {"score": 0.0}.\n\nQUESTION: {question}\n\nANSWER:\n{answer}'
+USEFUL_PROMPT = 'Say of each numbered passage whether it helps to answer the question. Reply with {"verdicts": [{"index": 1, "useful": true}]}.\n\nQUESTION: {question}\n\nPASSAGES:\n{passages}'
+#: Characters of a passage that the judge of context sees.
+PASSAGE_CHARS = 1200
+
+
+def judge(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """``rows(qid, question_type, question, answer, answerable, context_text, passages)`` to item scores, by three judgements.
+
+    Collapsed answers and refusals are not judged, and without passages nobody is asked which were useful.
+    """
+    asked = ~T.is_degenerate(F.col("answer")) & ~T.is_abstention(F.col("answer"))
+    shown = F.array_join(F.transform("passages", lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(p, 1, PASSAGE_CHARS))), "\n\n")
+    prompts = {
+        "claims_json": F.when(asked, filled(CLAIMS_PROMPT, context=F.col("context_text"), answer=F.col("answer"))),
+        "score_json": F.when(asked, filled(RELEVANCE_PROMPT, question=F.col("question"), answer=F.col("answer"))),
+        "verdicts_json": F.when(asked & (F.size("passages") > 0), filled(USEFUL_PROMPT, question=F.col("question"), passages=shown)),
+    }
+    return score_items(with_responses(rows, prompts, model, JUDGE_SYSTEM).withColumn("n_passages", F.size("passages")))
+
+
 def score_items(rows: DataFrame) -> DataFrame:
     """``rows(qid, question_type, answer, answerable, claims_json, score_json, verdicts_json, n_passages)`` to item scores.
 
@@ -192,7 +303,7 @@ def score_items(rows: DataFrame) -> DataFrame:
     r, p = relevance(F.col("score_json")), context_precision(F.col("verdicts_json"), F.col("n_passages"))
     errors = F.array_compact(
         F.array(
-            F.when(degenerate, F.lit("degenerate: generation collapsed into repeated tokens")),
+            F.when(degenerate, F.lit("degenerate: the answer repeats one character")),
             F.when(judged & f.isNull(), F.lit("faithfulness: no usable response")),
             F.when(judged & r.isNull(), F.lit("relevance: no usable response")),
             F.when(judged & p.isNull(), F.lit("context_precision: no usable response")),

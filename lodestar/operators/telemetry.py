@@ -1,25 +1,48 @@
-"""Latency roll-ups over ``spans(trace_id, stage, ms)``."""
+"""Stage timing, and latency roll-ups over ``spans(trace_id, stage, ms)``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Stage names, of which all but the last belong to retrieval.
-RETRIEVAL_STAGES = ("query_rewrite", "embed_query", "bm25_search", "dense_search", "fusion", "rerank", "assemble_context")
+RETRIEVAL_STAGES = ("query_rewrite", "search", "embed_query", "bm25_search", "dense_search", "fusion", "rerank", "assemble_context")
 GENERATE = "generate"
 
 
-def percentile_lower(sorted_values: Column, q: float) -> Column:
-    """The element at floor((n - 1) q) of a sorted array: a value that was observed; 0 if empty."""
-    return F.when(F.size(sorted_values) == 0, F.lit(0.0)).otherwise(F.get(sorted_values, F.floor((F.size(sorted_values) - 1) * q).cast("int")))
+class Clock:
+    """Times the stages of a batch: a stage's rows are computed and kept, and each of the batch's traces gets an equal share."""
+
+    def __init__(self):
+        self.stages: list[tuple[str, float, int]] = []
+        self.held: list[DataFrame] = []
+
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        import time
+
+        began = time.perf_counter()
+        rows = rows.persist()
+        n = rows.count()
+        self.held.append(rows)
+        self.stages.append((name, 1000 * (time.perf_counter() - began), n))
+        return rows
+
+    def spans(self, traces: DataFrame) -> DataFrame:
+        """``traces(trace_id)`` to (trace_id, stage, ms, meta); meta holds the rows that the stage gave."""
+        n = max(1, traces.count())
+        steps = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(ms / n).alias("ms"), F.create_map(F.lit("rows"), F.lit(str(rows))).alias("meta")) for s, ms, rows in self.stages])
+        return traces.select("trace_id", F.inline(steps)) if self.stages else traces.select("trace_id", F.lit("").alias("stage"), F.lit(0.0).alias("ms"), F.create_map(F.lit(""), F.lit("")).alias("meta")).limit(0)
+
+    def release(self) -> None:
+        for rows in self.held:
+            rows.unpersist()
+        self.held.clear()
 
 
 def _summary(rows: DataFrame, key: str) -> DataFrame:
     """n, mean, p50, p95 of ``ms`` by key.
 
-    Values are first counted, so what is gathered for a key are its distinct values to two
-    decimals of a microsecond, not its rows.
+    Values are first counted, so what is sorted for a key are its distinct values, not its rows.
     """
     from pyspark.sql import Window
 

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.config import Config
-from lodestar.operators import failures, golden, metrics
+from lodestar.functions import text as T
+from lodestar.operators import failures, generation, golden, metrics, telemetry
 from lodestar.operators.chunking import chunk_documents
+from lodestar.operators.telemetry import Clock
 from lodestar.plans.index import CorpusIndex
 from lodestar.plans.retrieval import retrieve
 
@@ -48,22 +50,67 @@ CHUNKING_ROWS = [Row(f"Chunk {n} (structure)", {"chunking.target_tokens": n}) fo
 
 @dataclass(frozen=True)
 class Run:
+    """``items``, ``totals`` and ``by_type`` of retrieval; ``records`` of every question; with a model also the judged
+    ``answers`` and their ``quality``, and with a clock the ``latency`` of the stages."""
+
     label: str
     items: DataFrame
     totals: DataFrame
     by_type: DataFrame
     records: DataFrame
     rewrite_active: bool
+    answers: DataFrame | None = None
+    quality: DataFrame | None = None
+    latency: DataFrame | None = None
+
+
+def context_passages(index: CorpusIndex, contexts: DataFrame) -> DataFrame:
+    """(qid, passages, valid_citations) in the order of the context."""
+    listed = contexts.select("qid", F.posexplode("context_ids").alias("place", "chunk_id")).join(index.chunks, "chunk_id")
+    tag = T.citation_tag(F.col("doc_id").cast("string"), F.col("source_type"), F.col("section"))
+    rows = listed.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "text", tag.alias("tag")))).alias("p"))
+    return rows.select("qid", F.transform("p", lambda x: x["text"]).alias("passages"), F.transform("p", lambda x: x["tag"]).alias("valid_citations"))
 
 
-def run(index: CorpusIndex, items: DataFrame, cfg: Config, label: str = "default", variants: DataFrame | None = None) -> Run:
-    """``items(qid, question, question_type, gold_chunk_ids)`` through retrieval and metrics."""
-    found = retrieve(index, items.select("qid", F.col("question").alias("query")), cfg, variants)
+def run(
+    index: CorpusIndex, items: DataFrame, cfg: Config, label: str = "default", variants: DataFrame | None = None,
+    model: generation.LanguageModel | None = None, judge: generation.LanguageModel | None = None, clock: Clock | None = None,
+) -> Run:
+    """``items(qid, question, question_type, gold_chunk_ids)`` through retrieval and metrics.
+
+    A ``model`` that is available also answers each question, and a ``judge`` that is available scores the answers.
+    An answer that fails is an error of its own record.
+    """
+    found = retrieve(index, items.select("qid", F.col("question").alias("query")), cfg, variants, model=model, clock=clock)
     scored = metrics.score_items(items, found.ranked, cfg.eval.k_values, cfg.eval.ndcg_k)
     lists = found.ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("ranked_ids"))
     empty = F.array().cast("array<string>")
     records = items.join(lists, "qid", "left").join(found.contexts.select("qid", "context_ids"), "qid", "left").withColumn("ranked_ids", F.coalesce("ranked_ids", empty)).withColumn("context_ids", F.coalesce("context_ids", empty))
-    return Run(label, scored, metrics.macro_average(scored, items), metrics.by_question_type(scored, cfg.eval.ndcg_k), records, found.rewrite_active)
+    totals = metrics.macro_average(scored, items)
+    answers = quality = None
+    if model is not None and model.available():
+        asked = items.select("qid", "question").join(found.contexts.select("qid", "context_text"), "qid").join(context_passages(index, found.contexts), "qid", "left")
+        asked = asked.withColumns({c: F.coalesce(c, empty) for c in ("passages", "valid_citations")})
+        answers = generation.answer(asked, model)
+        answers = clock.stage("generate", answers) if clock else answers.persist()  # models are asked once
+        records = records.join(answers.select("qid", "answer", "abstained", "citations", "error"), "qid", "left")
+        if judge is not None and judge.available():
+            rows = answers.where("answer IS NOT NULL").join(items.select("qid", "question_type", (F.col("question_type") != "unanswerable").alias("answerable")), "qid")
+            answers = generation.judge(rows, judge).persist()
+            quality = generation.aggregate_items(answers)
+            records = records.join(answers.select("qid", "faithfulness", "answer_relevance", "context_precision", "n_claims", "n_unsupported", "degenerate", "errors"), "qid", "left")
+    latency = telemetry.latency_summary(clock.spans(items.select(F.col("qid").alias("trace_id")))) if clock else None
+    return Run(label, scored, totals, metrics.by_question_type(scored, cfg.eval.ndcg_k), records, found.rewrite_active, answers, quality, latency)
+
+
+def gate_inputs(done: Run) -> DataFrame:
+    """What ``gates`` compares: null where it was not measured."""
+    out = done.totals
+    none = F.lit(None).cast("double")
+    out = out.join(done.quality.select("faithfulness")) if done.quality is not None else out.withColumn("faithfulness", none)
+    if done.latency is None:
+        return out.withColumn("p95_ms", none)
+    return out.join(done.latency.where("stage = 'TOTAL_RETRIEVAL'").agg(F.max("p95_ms").alias("p95_ms")))
 
 
 def gates(totals: DataFrame, cfg: Config) -> DataFrame:
@@ -88,7 +135,7 @@ def chunking_ablation(documents: DataFrame, base_chunks: DataFrame, items: DataF
     out = []
     for r in rows or CHUNKING_ROWS:
         own = cfg.patch(r.overrides)
-        chunks = chunk_documents(documents, own.chunking, counter).persist()
+        chunks = chunk_documents(documents, own.chunking, counter)
         moved = golden.remap(items, base_chunks, chunks).where("outcome <> 'dropped'").select("qid", "gold_chunk_ids")
         kept = items.drop("gold_chunk_ids").join(moved, "qid")
         done = run(CorpusIndex.build(chunks, own), kept, own, r.label)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lodestar.config import Config
 from lodestar.functions import text as T
-from lodestar.operators import dense, fusion, lexical, ranking
+from lodestar.operators import dense, fusion, generation, lexical, ranking
+from lodestar.operators.telemetry import Clock
 from lodestar.plans.index import CorpusIndex
 
 #: (qid, query, chunk columns) rows in, a score column out.
@@ -69,17 +70,25 @@ def token_scorer(rows: DataFrame) -> F.Column:
     return ranking.overlap_score(F.array_distinct(T.tokens(F.col("query"))), T.tokens(body))
 
 
-def retrieve(index: CorpusIndex, queries: DataFrame, cfg: Config, variants: DataFrame | None = None, scorer: Scorer = token_scorer) -> Retrieved:
-    """Queries without a hit have no rows in rankings and an empty context."""
+def retrieve(index: CorpusIndex, queries: DataFrame, cfg: Config, variants: DataFrame | None = None, scorer: Scorer = token_scorer, model: generation.LanguageModel | None = None, clock: Clock | None = None) -> Retrieved:
+    """Queries without a hit have no rows in rankings and an empty context.
+
+    With rewriting on, a ``model`` writes the variants unless they are given.  A ``clock`` times the stages.
+    """
     r = cfg.retrieval
+    timed = clock.stage if clock else (lambda _, rows: rows)
+    if r.rewrite.enabled and variants is None and model is not None:
+        variants = generation.rewrite(queries.select(F.col("qid").cast("string").alias("qid"), "query"), model, r.rewrite.max_queries)
+        variants = variants if variants is None else timed("query_rewrite", variants)
     active = rewrite_active(cfg, variants)
-    rankings = search_all(index, queries, cfg, variants if active else None)
-    fused = fusion.fuse(rankings, r.fusion.method, r.fusion.k)
+    rankings = timed("search", search_all(index, queries, cfg, variants if active else None))
+    fused = timed("fusion", fusion.fuse(rankings, r.fusion.method, r.fusion.k))
     asked = queries.select(F.col("qid").cast("string").alias("qid"), "query")
     if r.rerank.enabled:
         pool = fused.where(F.col("rank") <= r.rerank.candidates).join(index.chunks, "chunk_id").join(asked, "qid")
         scores = pool.withColumn("own", scorer(pool)).select("qid", "chunk_id", "own")
         ranked = ranking.rerank(fused.join(scores, ["qid", "chunk_id"], "left"), F.col("own"), r.rerank.candidates).drop("own")
+        ranked = timed("rerank", ranked)
     else:
         ranked = fused.withColumn("pre_rank", F.col("rank")).withColumn("rerank_score", F.lit(None).cast("double"))
     cut = ranking.context_cut(ranked, r.rerank.top_n).join(index.chunks, "chunk_id")
@@ -91,4 +100,4 @@ def retrieve(index: CorpusIndex, queries: DataFrame, cfg: Config, variants: Data
     else:
         contexts = ranking.assemble(shown, r.assembly.max_context_tokens, r.assembly.dedup_threshold, r.assembly.ordering)
     filled = asked.select("qid").join(contexts, "qid", "left").withColumn("context_ids", F.coalesce("context_ids", F.array().cast("array<string>"))).withColumn("context_text", F.coalesce("context_text", F.lit("")))
-    return Retrieved(rankings, fused, ranked, filled, active)
+    return Retrieved(rankings, fused, ranked, timed("assemble_context", filled), active)
