@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,10 +78,25 @@ def flatten_markup(xml: Column) -> Column:
 
 
 def unescape_entities(text: Column) -> Column:
-    """The five XML entities and the no-break space."""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Entities by name or by number; each is read once, unknown ones stay.
+
+    Without a semicolon a name must be one of those that HTML allows so, and end where the word ends.
+    """
+    names = F.create_map(*[F.lit(x) for n, c in sorted({**name2codepoint, "apos": 39}.items()) for x in (n, chr(c))])
+    bare = [n for n in html5 if not n.endswith(";")]
+    hexed = lambda number: F.lpad(F.hex(number), 8, "0")
+
+    def read(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*)(;|$|[^A-Za-z0-9])", 1)
+        closed = F.substring(piece, F.length(name) + 1, F.lit(1)) == ";"
+        digits = F.when(F.substring(name, 2, 1).isin("x", "X"), F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 8)).cast("long")
+        valid = digits.between(1, 0x10FFFF) & ~digits.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(hexed(F.coalesce(F.when(valid, digits), F.lit(32)))), "UTF-32")).otherwise("\ufffd")
+        char = F.when((name == "") | ~closed & ~name.isin(bare), F.lit(None).cast("string")).when(F.substring(name, 1, 1) == "#", number).otherwise(F.try_element_at(names, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(char, F.substring(piece, F.length(name) + F.when(closed, 2).otherwise(1), F.length(piece))))
+
+    whole = F.array_join(F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(read(p))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def markdown_sections(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Exact dense retrieval and a model-free embedder.
 
-Query vectors are taken in blocks of bounded size; every task multiplies the block with its
-part of the matrix and keeps its own top k, and the tasks' lists are merged by a window.  No
-approximation and no cross join.
+Query vectors are sent to the tasks, up to ``PASS_QUERIES`` in one pass over the vectors; every task multiplies
+blocks of them with its part of the matrix and keeps its own top k, and the tasks' lists are merged
+by a window.  No approximation and no cross join.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.lexical import top_k
 
-#: Query vectors sent to the executors at once.
+#: Query vectors sent to the executors for one pass over the vectors, and multiplied at once.
+PASS_QUERIES = 1 << 17
 QUERY_BLOCK = 4096
 #: Floor of the denominator of cosine similarity.
 TINY = 1e-9
@@ -46,7 +47,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, normalized: bool = Tr
     qid_type = queries.schema["qid"].dataType.simpleString()
     columns = ["qid", "embedding", *extra]
     n = queries.count()
-    n_blocks = max(1, -(-n // block))
+    n_blocks = max(1, -(-n // PASS_QUERIES))
     parts = []
     for b in range(n_blocks):
         own = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
@@ -60,14 +61,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, normalized: bool = Tr
                 if not batch.num_rows or not len(qids):
                     continue
                 m = matrix(batch.column(1))
-                scores = q @ (m if normalized else unit(m)).T
-                if qx is not None:
-                    scores[qx[:, None] == batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                keep = min(k, scores.shape[1])
-                # everything that ties with the k-th score stays, so ties are broken by id later
-                floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                i, j = np.nonzero((scores >= floor[:, None] - 1e-9) & np.isfinite(scores))
-                yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(scores[i, j])], names=["qid", id_col, "raw_score"])
+                m = (m if normalized else unit(m)).T
+                for lo in range(0, len(qids), block):
+                    scores = q[lo : lo + block] @ m
+                    if qx is not None:
+                        scores[qx[lo : lo + block, None] == batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                    keep = min(k, scores.shape[1])
+                    # everything that ties with the k-th score stays, so ties are broken by id later
+                    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+                    i, j = np.nonzero((scores >= floor[:, None] - 1e-9) & np.isfinite(scores))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[lo : lo + block]).take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(scores[i, j])], names=["qid", id_col, "raw_score"])
 
         parts.append(vectors.select(id_col, "embedding", *extra).mapInArrow(run, f"qid {qid_type}, {id_col} {id_type}, raw_score double"))
     found = parts[0]

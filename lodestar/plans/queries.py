@@ -163,7 +163,7 @@ _SPACE = "E' \\n\\t\\r\\f\\x0B'"
 HTML_SQL = f"""a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis') AS h FROM pages),
 b AS (SELECT page_id, string_split(regexp_replace(h, '<h[1-4][^>]*>(.*?)</h[1-4]>', E'\\n\\n## ' || chr(1) || '\\1' || chr(1) || E'\\n\\n', 'gis'), chr(1)) AS p FROM a),
 c AS (SELECT page_id, array_to_string(list_transform(p, lambda x, i: regexp_replace(x, '<[^>]+>', CASE WHEN i % 2 = 0 THEN '' ELSE ' ' END, 'g')), '') AS t FROM b),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM c),
+u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', chr(169)), '&middot;', chr(183)), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g') AS t FROM c),
 s AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), {_SPACE} || chr(160)) AS t FROM u)"""
 
 

@@ -2,7 +2,7 @@
 
 Options: ``term``, ``retmax``, ``endpoint`` (base address), ``api_key``.  Ids are found page by page
 when the plan is made; each partition then fetches one batch of records.  Requests keep the
-service's rate and are tried four times with growing pauses.
+service's rate, which the partitions divide, and are tried four times with growing pauses.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ def http_get(url: str) -> str:
 class Client:
     """Searches ids and fetches records.  ``get`` and ``sleep`` can be replaced in tests."""
 
-    def __init__(self, endpoint: str = ENDPOINT, api_key: str | None = None, get: Get = http_get, sleep=time.sleep):
+    def __init__(self, endpoint: str = ENDPOINT, api_key: str | None = None, get: Get = http_get, sleep=time.sleep, share: int = 1):
+        """``share`` clients run at the same time and divide the service's rate among them."""
         self.endpoint, self.api_key, self.get, self.sleep = endpoint.rstrip("/"), api_key, get, sleep
-        self.gap, self.last = 1.0 / (RATE_WITH_KEY if api_key else RATE), 0.0
+        self.gap, self.last = share / (RATE_WITH_KEY if api_key else RATE), 0.0
 
     def request(self, path: str, **params) -> str:
         if self.api_key:
@@ -69,25 +70,26 @@ class Client:
 
 
 class Batch(InputPartition):
-    def __init__(self, ids: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list[str], of: int = 1):
+        self.ids, self.of = ids, of
 
 
 class LiteratureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def client(self) -> Client:
-        return Client(self.options.get("endpoint", ENDPOINT), self.options.get("api_key"))
+    def client(self, share: int = 1) -> Client:
+        return Client(self.options.get("endpoint", ENDPOINT), self.options.get("api_key"), share=share)
 
     def partitions(self) -> list[InputPartition]:
         ids = self.client().search(self.options["term"], int(self.options.get("retmax", 400)))
-        return [Batch(ids[i : i + BATCH]) for i in range(0, len(ids), BATCH)] or [Batch([])]
+        cuts = range(0, len(ids), BATCH)
+        return [Batch(ids[i : i + BATCH], len(cuts)) for i in cuts] or [Batch([])]
 
     def read(self, partition: Batch) -> Iterator:
         import pyarrow as pa
 
-        if partition.ids and (rows := self.client().fetch(partition.ids)):
+        if partition.ids and (rows := self.client(partition.of).fetch(partition.ids)):
             yield from pa.Table.from_pylist(rows, schema=arrow_schema(schemas.DOCUMENTS)).to_batches()
 
 

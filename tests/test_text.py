@@ -69,3 +69,11 @@ def test_rendering(spark):
     row = spark.createDataFrame([("pmid:7", "pubmed", "Results", "T", "2020", "body"), ("local:x", "local", None, "T", None, "body")], "d string, s string, sec string, t string, y string, b string")
     tag = T.citation_tag(F.col("d"), F.col("s"), F.col("sec"))
     assert [r[0] for r in row.select(T.render_chunk(tag, F.col("t"), F.col("y"), F.col("b"))).collect()] == ["[PMID:7 §Results] T (2020)\nbody", "[local:x] T\nbody"]
+
+
+def test_entities_as_the_standard_library_reads_them(spark):
+    from html import unescape
+
+    texts = ["a &lt;b&gt; &amp;lt; &quot;&#39;&apos;", "&eacute;&#233;&#xE9;&#128512; &nbsp;|", "R&D; AT&T &unknown; & &;", "no entity", "&#0;&#55296;", "&&amp;&amp;amp;", "a &amp b &copy, &am"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").orderBy("i").select(T.unescape_entities(F.col("x")).alias("t")).collect()]
+    assert got == [unescape(t) for t in texts]
