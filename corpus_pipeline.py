@@ -51,10 +51,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     joined = jaccard_join.jaccard_join(docs.select("doc_id", "text"), width=NEAR_WORDS, percent=NEAR_PERCENT)
     found = materialize(joined.where("component IS NOT NULL").select("component", "doc_id", name, *KEY), "near-copies")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", *row)
-    stays = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", *[F.col(f"first.{c}").alias(f"first{c}") for c in row])
-    marked = materialize(found.join(stays, "component").withColumn("goes", F.expr(" OR ".join(f"{c} <> first{c}" for c in row))), "near-groups")
-    gone = materialize(marked.where("goes").select(*row).distinct(), "near-gone")
-    again = materialize(marked.where("NOT goes").groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select(*row), "near-again")
+    first = found.groupBy("component").agg(F.min(order).alias("r")).select(*[f"r.{c}" for c in row])
+    # rows meet by their own keys, of which a large component has as many as rows
+    gone = materialize(found.select(*row).join(first, row, "left_anti").distinct(), "near-gone")
+    again = materialize(found.groupBy(*row).agg(F.count("*").alias("n")).where("n > 1").select(*row), "near-again")
     keyed = docs.select("*", name, *text_key(F.col("text"))).join(ids_if_small(gone), row, "left_anti")
     listed = ids_if_small(again)
     once = keyed.join(listed, row, "left_anti").select(docs.columns)
