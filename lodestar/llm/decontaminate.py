@@ -124,6 +124,7 @@ def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int
     held = docs.sparkSession.sparkContext.broadcast(shingles)
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         index = {k: HashIndex(h) for k, h in held.value.items()}
         total = {k: np.zeros(len(h), np.int64) for k, h in held.value.items()}
         for batch in batches:

@@ -25,8 +25,8 @@ import numpy as np
 from lodestar.llm.wordhash import U64, space_separated, split_words
 
 #: Units a worker remembers.
-CACHE_UNITS = 2_000_000
-_SLOT_BITS = 20
+CACHE_UNITS = 1_200_000
+_SLOT_BITS = 19
 
 
 def byte_classes() -> np.ndarray:

@@ -122,6 +122,7 @@ def shapes(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, key of the text, n, d1, d2, bits): size, 128-bit digest and parity bitmap of each document's set."""
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 s = Sets(data, offsets, width)

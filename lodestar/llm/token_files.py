@@ -65,6 +65,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     """(doc_id, n_tokens, ids): ids as little-endian uint32 bytes, with the end id."""
 
     def run(batches: Batches) -> Batches:
+        release_memory()
         enc = encoder(tokenizer_path)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):

@@ -21,7 +21,7 @@ import pyarrow as pa
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 #: Text bytes handled by one vectorised step; a longer single text is a step of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
@@ -53,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=3)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
