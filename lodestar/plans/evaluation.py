@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestar.config import Config
 from lodestar.functions import text as T
@@ -131,16 +132,26 @@ def ablation(index: CorpusIndex, items: DataFrame, cfg: Config, rows: list[Row]
 
 
 def chunking_ablation(documents: DataFrame, base_chunks: DataFrame, items: DataFrame, cfg: Config, rows: list[Row] | None = None, counter: str = "chars4") -> DataFrame:
-    """Totals per chunking: chunks, index and golden labels are made anew for each."""
-    out = []
+    """Totals per chunking: chunks, index and golden labels are made anew for each.
+
+    Each configuration is measured when it is called: its tables are held while its one row of totals is
+    computed, and released before the next.
+    """
+    out, fields = [], []
     for r in rows or CHUNKING_ROWS:
         own = cfg.patch(r.overrides)
-        chunks = chunk_documents(documents, own.chunking, counter)
+        chunks = chunk_documents(documents, own.chunking, counter).persist()
+        index = CorpusIndex.build(chunks, own).persist()
         moved = golden.remap(items, base_chunks, chunks).where("outcome <> 'dropped'").select("qid", "gold_chunk_ids")
-        kept = items.drop("gold_chunk_ids").join(moved, "qid")
-        done = run(CorpusIndex.build(chunks, own), kept, own, r.label)
-        out.append(done.totals.select(F.lit(r.label).alias("label"), *done.totals.columns))
-    return reduce(DataFrame.unionByName, out)
+        kept = items.drop("gold_chunk_ids").join(moved, "qid").persist()
+        try:
+            totals = run(index, kept, own, r.label).totals
+            fields = totals.schema.fields
+            out.append((r.label, *totals.first()))
+        finally:
+            kept.unpersist()
+            index.unpersist()
+    return documents.sparkSession.createDataFrame(out, StructType([StructField("label", StringType()), *fields]))
 
 
 def failure_report(records: DataFrame, items: DataFrame, top_n: int = 20, k: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,20 @@ class CorpusIndex:
             vectors = dense.hashing_embedder(chunks, "chunk_id", prefix=r.dense.passage_prefix, normalize=r.dense.normalize)
         return cls(chunks, words, vectors if r.dense.enabled else None, cfg.fingerprint())
 
+    def tables(self) -> list[DataFrame]:
+        words = self.lexical
+        return [self.chunks, *([words.postings, words.terms, words.lengths, words.corpus] if words else []), *([self.vectors] if self.vectors is not None else [])]
+
+    def persist(self) -> CorpusIndex:
+        """Holds the tables for a run of several passes over an index that is not saved; ``unpersist`` lets them go."""
+        for rows in self.tables():
+            rows.persist()
+        return self
+
+    def unpersist(self) -> None:
+        for rows in reversed(self.tables()):
+            rows.unpersist()
+
     def problems(self) -> DataFrame:
         """(chunk_id, problem): repeated ids, and ids that only one of the tables has."""
         repeated = self.chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id", F.lit("repeated id").alias("problem"))
@@ -55,7 +69,7 @@ class CorpusIndex:
         )
         if self.lexical:
             base = base.join(self.lexical.terms.agg(F.count("*").alias("n_terms")))
-        if self.vectors:
+        if self.vectors is not None:
             base = base.join(self.vectors.agg(F.max(F.size("embedding")).alias("dimension")))
         return base
 
