@@ -61,14 +61,24 @@ def scratch_scope(spark: SparkSession, label: str):
         _delete(spark, folder)
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd", path: str | None = None, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The copy survives lost executors, and its size is known to the optimizer.
+    The copy survives lost executors, and its size is known to the optimizer.  With ``drop_shuffles`` the write's
+    shuffle files go when it ends, else when the driver happens to collect its garbage.
     """
-    path = path or scratch_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true" if drop_shuffles else before)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_memory() -> None:

@@ -17,8 +17,9 @@ the score is the log10 probability of the whole text with its end.
 **Scale.**  Rows are dealt to blocks of about ``BLOCK_BYTES`` of text by their place in a file, long texts to
 blocks of their own size class, so a block is bounded in bytes and rows are read in order.
 Words and runs are counted per block, so a block sends each of its words and runs once,
-however often it holds them; counts come back to blocks the same way and meet the block's texts in
-one cogroup.  The tree is grown in two parts.  Contexts of up to ``HEAD`` bytes are bounded by the
+however often it holds them; answers meet the block's texts, packed, in one cogroup.  Answers are bare values: a
+block finds its words and runs in its texts again and knows their order, so no key travels back.  Keys are sent in an
+order in which those of a bucket are near each other, so they take little more room the more buckets there are.  The tree is grown in two parts.  Contexts of up to ``HEAD`` bytes are bounded by the
 alphabet, pass through the driver and are sent to all tasks.  Longer ones are spread over tasks by
 their last ``HEAD + 1`` bytes: contexts that end alike are one subtree, whose runs, counted per block,
 meet in one group; it grows the subtree and answers each block with the probabilities of the
@@ -50,6 +51,9 @@ MIN_COUNT = 8
 MIN_DIVERGENCE = 0.005
 SMOOTHING = 2.0
 BLOCK_BYTES = 1 << 25
+#: Bytes of text that are packed together on their way to their block.
+PACK_BYTES = 1 << 22
+SUFFIX = U64((1 << (8 * (HEAD + 1))) - 1)
 _SPACE = space_separated()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -98,7 +102,7 @@ def run_counts(packed: DataFrame, depth: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, n = np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64) & U64((1 << (8 * (depth + 1))) - 1), unpack(r["n"], r["size"], np.int32).astype(np.int64)
+                keys, n = unrotated(np.cumsum(unpack(r["runs"], r["size"], U64), dtype=U64)) & U64((1 << (8 * (depth + 1))) - 1), unpack(r["n"], r["size"], np.int32).astype(np.int64)
                 sums = Sums()
                 sums.add(keys[n > 0], n[n > 0])
                 keys, n = sums.take()
@@ -258,6 +262,29 @@ def unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def rotated(runs: np.ndarray) -> np.ndarray:
+    """Runs in the order they are packed in: the last ``HEAD + 1`` bytes of context, the symbol, then older bytes, latest first.
+
+    Runs of one bucket and those with like probabilities stand together.
+    """
+    old = (runs >> U64(40) & U64(255)) << U64(8) | runs >> U64(48)
+    return (runs >> U64(8) & SUFFIX) << U64(24) | (runs & U64(255)) << U64(16) | old
+
+
+def unrotated(keys: np.ndarray) -> np.ndarray:
+    return (keys & U64(255)) << U64(48) | (keys >> U64(8) & U64(255)) << U64(40) | (keys >> U64(24)) << U64(8) | keys >> U64(16) & U64(255)
+
+
+def run_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of rotated runs, the same for all with the same last ``HEAD + 1`` bytes of context."""
+    return mix(keys >> U64(24)) % U64(buckets)
+
+
+def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of the hashes."""
+    return (hashes >> U64(32)) * U64(buckets) >> U64(32)
+
+
 def by_block(blocks: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
     """Each block of consecutive texts with its places, which lie between ``bounds``."""
     own = np.unique(blocks).tolist()
@@ -273,8 +300,8 @@ PACKS = "bucket long, block long, size long, runs binary, n binary"
 
 
 def packs(block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """A block's sorted keys with their counts, a row for each bucket."""
-    order = np.argsort(bucket, kind="stable")
+    """A block's keys with their counts, a row for each bucket."""
+    order = np.lexsort((keys, bucket))
     keys, n, bucket = keys[order], n[order], bucket[order]
     own, first = np.unique(bucket, return_index=True)
     parts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)]))
@@ -296,10 +323,19 @@ def unpacked(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[i
     return u, np.bincount(back, weights=n, minlength=len(u)), back, sizes
 
 
-def answers(part: pa.Table, values: np.ndarray, sizes: list[int], **more: pa.Array) -> pa.Table:
-    ends = np.cumsum(sizes).tolist()
-    packed = pa.array([pack(values[e - m : e]) for e, m in zip(ends, sizes)], pa.binary())
-    return pa.table({"block": part.column("block"), "size": part.column("size"), "runs": part.column("runs"), "value": packed, **more})
+ANSWERS = "block long, bucket long, size long, value binary"
+
+
+def answers(part: pa.Table, values: np.ndarray, back: np.ndarray, sizes: list[int], **once: int) -> pa.Table:
+    """A row for each block: ``values`` of its distinct keys in their order; ``once`` stands on the first row."""
+    blocks, ends = part.column("block").to_numpy(), np.cumsum(sizes)
+    places: dict[int, list[np.ndarray]] = {}
+    for block, hi, size in zip(blocks.tolist(), ends.tolist(), sizes):
+        places.setdefault(block, []).append(back[hi - size : hi])
+    own = [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) for x in places.values()]
+    columns = {"block": list(places), "bucket": [part.column("bucket")[0].as_py()] * len(own), "size": [len(x) for x in own]}
+    more = {name: [int(x)] + [0] * (len(own) - 1) for name, x in once.items()}
+    return pa.table({**{k: pa.array(v, pa.int64()) for k, v in columns.items()}, "value": pa.array([pack(values[x]) for x in own], pa.binary()), **more})
 
 
 def emptied(held: dict, limit: int) -> Iterator[int]:
@@ -320,7 +356,8 @@ def block_runs(docs: DataFrame, depth: int, buckets: int) -> DataFrame:
 
         def rows(block: int) -> pa.RecordBatch:
             keys, n = held.pop(block).take()
-            return packs(block, keys, n, mix(keys >> U64(8) & U64((1 << (8 * (HEAD + 1))) - 1)) % U64(buckets))
+            keys = rotated(keys)
+            return packs(block, keys, n, run_bucket(keys, buckets))
 
         for batch in batches:
             blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(U64)
@@ -347,7 +384,7 @@ def block_words(docs: DataFrame, buckets: int) -> DataFrame:
 
         def rows(block: int) -> pa.RecordBatch:
             keys, n = held.pop(block).take()
-            return packs(block, keys, n, mix(keys) % U64(buckets))
+            return packs(block, keys, n, word_bucket(keys, buckets))
 
         for batch in batches:
             blocks, train = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -367,31 +404,31 @@ def block_words(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def word_counts(packed: DataFrame) -> DataFrame:
-    """(block, size, runs, value, n, v): training counts of the words of ``block_words``, and on the first row
+    """(block, bucket, size, value, n, v): training counts of the words of ``block_words``, and on the first row
     of each bucket the sum of all counts and the number of words that have one."""
 
     def count(part: pa.Table) -> pa.Table:
         _, n, back, sizes = unpacked(part)
-        once = lambda x: pa.array([int(x)] + [0] * (len(sizes) - 1))
-        out = answers(part, n[back].astype(np.int64), sizes, n=once(n.sum()), v=once((n > 0).sum()))
+        out = answers(part, n.astype(np.int64), back, sizes, n=n.sum(), v=(n > 0).sum())
         release_memory()
         return out
 
-    return packed.groupBy("bucket").applyInArrow(count, "block long, size long, runs binary, value binary, n long, v long")
+    return packed.groupBy("bucket").applyInArrow(count, f"{ANSWERS}, n long, v long")
 
 
 def run_scores(packed: DataFrame, head: Tree, depth: int) -> DataFrame:
-    """(block, size, runs, value): log10 probabilities of the runs of ``block_runs``."""
+    """(block, bucket, size, value): log10 probabilities of the runs of ``block_runs``."""
     held = packed.sparkSession.sparkContext.broadcast(head)
 
     def score(part: pa.Table) -> pa.Table:
         u, n, back, sizes = unpacked(part)
-        tree = grown(held.value, u[n > 0], n[n > 0], depth)
-        out = answers(part, np.log10(tree.probabilities(u)).astype(np.float32)[back], sizes)
+        runs = unrotated(u)
+        tree = grown(held.value, runs[n > 0], n[n > 0], depth)
+        out = answers(part, np.log10(tree.probabilities(runs)).astype(np.float32), back, sizes)
         release_memory()
         return out
 
-    return packed.groupBy("bucket").applyInArrow(score, "block long, size long, runs binary, value binary")
+    return packed.groupBy("bucket").applyInArrow(score, ANSWERS)
 
 
 class Table:
@@ -419,13 +456,39 @@ class Table:
         return out
 
 
-def merged(rows: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a block's ``answers``."""
-    keys, values = [np.empty(0, U64)], [np.empty(0, kind)]
-    for size, runs, value in zip(*(rows.column(c) for c in ("size", "runs", "value"))):
-        keys.append(np.cumsum(unpack(runs.as_buffer(), size.as_py(), U64), dtype=U64))
-        values.append(unpack(value.as_buffer(), size.as_py(), kind))
-    return np.concatenate(keys), np.concatenate(values)
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(block, body): rows of ``rows(block, doc_id, train, text)``, many of a block packed together."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, *_ in text_slices(batch.column(3), PACK_BYTES):
+                for block in np.unique(blocks[lo:hi]).tolist():
+                    own = batch.select([1, 2, 3]).take(pa.array(lo + np.flatnonzero(blocks[lo:hi] == block)))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(own)
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+        release_memory()
+
+    return rows.select("block", "doc_id", "train", "text").mapInArrow(run, "block long, body binary")
+
+
+def unpacked_texts(part: pa.Table) -> Iterator[pa.Table]:
+    for body in part.column("body"):
+        yield pa.ipc.open_stream(body.as_buffer()).read_all()
+
+
+def aligned(rows: pa.Table, keys: np.ndarray, bucket: np.ndarray, kind: type) -> np.ndarray:
+    """The values in a block's ``answers``, in the order of ``keys``, which are all of the block's."""
+    order = np.lexsort((keys, bucket))
+    found = sorted(zip(*(rows.column(c).to_pylist() for c in ("bucket", "size", "value"))))
+    own, sizes = np.unique(bucket, return_counts=True)
+    if [x[:2] for x in found] != list(zip(own.tolist(), sizes.tolist())):
+        raise RuntimeError("a block's texts have changed since they were counted")
+    out = np.empty(len(keys), kind)
+    out[order] = np.concatenate([np.empty(0, kind)] + [unpack(value, size, kind) for _, size, value in found])
+    return out
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -461,20 +524,39 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(max(1, -(-s["bytes"] // block_bytes))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), train.alias("train"), block.alias("block"))
     ends, buckets = s["train"], max(16, -(-s["bytes"] // (block_bytes // 2)))
-    words = materialize(word_counts(block_words(rows, buckets)), "word-counts", "uncompressed")
+    words = materialize(word_counts(block_words(rows, buckets)), "word-counts", "uncompressed", drop_shuffles=True)
     s = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_train, v_train = s["n"] + ends, s["v"] + (ends > 0)
-    packed = materialize(block_runs(rows, depth, buckets), "block-runs", "uncompressed")
-    head = grow(materialize(run_counts(packed, min(HEAD, depth)), "symbol-runs"), min(HEAD, depth))
-    kinds = [x.withColumn("words", F.lit(w)).select("block", "words", "size", "runs", "value") for x, w in ((words, True), (run_scores(packed, head, depth), False))]
+    packed = materialize(block_runs(rows, depth, buckets), "block-runs", "uncompressed", drop_shuffles=True)
+    head = grow(materialize(run_counts(packed, min(HEAD, depth)), "symbol-runs", drop_shuffles=True), min(HEAD, depth))
+    kinds = [x.withColumn("words", F.lit(w)).select("block", "words", "bucket", "size", "value") for x, w in ((words, True), (run_scores(packed, head, depth), False))]
     known_by_block = kinds[0].unionByName(kinds[1])
 
+    def tables(part: pa.Table, known: pa.Table) -> tuple[Table, Table]:
+        """Log10 probabilities of the block's runs and counts of its words."""
+        runs, words = RunSums(), Sums(500_000)
+        for texts in unpacked_texts(part):
+            for _, _, data, offsets in text_slices(texts.column("text")):
+                key = symbols(data, offsets, depth)[0]
+                runs.add(key, np.zeros(len(key), U64))
+                own = np.unique(split_words(data, offsets, _SPACE, lower=True).hashes)
+                words.add(own, np.zeros(len(own), np.int64))
+        keys, hashes = runs.take()[0], words.take()[0]
+        turned, of_words = rotated(keys), known.column("words")
+        values = aligned(known.filter(pc.invert(of_words)), turned, run_bucket(turned, buckets), np.float32)
+        return Table(keys, values), Table(hashes, aligned(known.filter(of_words), hashes, word_bucket(hashes, buckets), np.int64))
+
     def score(part: pa.Table, known: pa.Table) -> pa.Table:
-        runs = Table(*merged(known.filter(pc.invert(known.column("words"))), np.float32))
-        counts = Table(*merged(known.filter(known.column("words")), np.int64))
+        runs, counts = tables(part, known)
+        out = [scored(texts, runs, counts) for texts in unpacked_texts(part)]
+        del runs, counts
+        release_memory()
+        return pa.concat_tables(out) if out else pa.Table.from_pylist([], schema=empty)
+
+    def scored(part: pa.Table, runs: Table, counts: Table) -> pa.Table:
         out = []
         floor = np.log10(n_train + 0.1 * (v_train + 1))
-        for lo, hi, data, offsets in text_slices(part.column("text").combine_chunks()):
+        for lo, hi, data, offsets in text_slices(part.column("text")):
             tokens = split_words(data, offsets, _SPACE, lower=True)
             n = counts.get(tokens.hashes)
             term = np.concatenate([[0.0], np.cumsum(np.log10(n + 0.1) - floor)])
@@ -482,16 +564,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             base = term[tokens.first[1:]] - term[tokens.first[:-1]] + np.log10(ends + 0.1) - floor
             key, cut, _ = symbols(data, offsets, depth)
             value = np.add.reduceat(runs.get(key).astype(np.float64), cut[:-1])
-            out.append((lo, hi, tokens.counts() + 1, found[tokens.first[1:]] - found[tokens.first[:-1]] + (ends > 0), base, value))
-        del runs, counts
-        release_memory()
+            out.append((tokens.counts() + 1, found[tokens.first[1:]] - found[tokens.first[:-1]] + (ends > 0), base, value))
         cat = lambda i: np.concatenate([x[i] for x in out])
         return pa.table(
             {
-                "doc_id": part.column("doc_id"), "held_out": pa.array(~part.column("train").to_numpy(zero_copy_only=False)), "n_tokens": cat(2), "n_known": cat(3),
-                "train_tokens": np.full(part.num_rows, n_train), "base_score": cat(4), "score": cat(5),
+                "doc_id": part.column("doc_id"), "held_out": pa.array(~part.column("train").to_numpy()), "n_tokens": cat(0), "n_known": cat(1),
+                "train_tokens": np.full(part.num_rows, n_train), "base_score": cat(2), "score": cat(3),
             }
-        ) if out else pa.Table.from_pylist([], schema=empty)
+        )
 
     empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return rows.select("block", "doc_id", "train", "text").groupBy("block").cogroup(known_by_block.groupBy("block")).applyInArrow(score, SCORES)
+    return packed_texts(rows).groupBy("block").cogroup(known_by_block.groupBy("block")).applyInArrow(score, SCORES)

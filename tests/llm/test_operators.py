@@ -3,10 +3,13 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, mixing, substring_dedup, suffix_tree, token_counts, token_files
 from lodestar.llm.common import materialize, scratch_path
@@ -347,3 +350,19 @@ def test_scratch_can_be_dropped(spark):
     drop_scratch(spark)
     with pytest.raises(Exception, match="."):
         kept.collect()
+
+
+def test_runs_are_packed_by_suffix_and_no_key_travels_back(spark):
+    rng = random.Random(9)
+    rows = [(i, True, " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(300)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, train boolean, text string, block long").coalesce(1)
+    size = lambda n: suffix_tree.block_runs(docs, suffix_tree.DEPTH, n).agg(F.sum(F.length("runs"))).first()[0]
+    assert size(128) < 1.5 * size(4)
+    assert suffix_tree.word_counts(suffix_tree.block_words(docs, 3)).columns == ["block", "bucket", "size", "value", "n", "v"]
+    runs = np.array([0x01020304050607, 0xFF00FE00FD00FC, 0x0A], np.uint64)
+    assert (suffix_tree.unrotated(suffix_tree.rotated(runs)) == runs).all()
+
+
+def test_language_model_scores_do_not_depend_on_blocks_and_tasks(spark, documents):
+    scores = lambda df, **more: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in suffix_tree.score_documents(df, **more).collect())
+    assert scores(documents.repartition(5), block_bytes=20_000) == scores(documents.coalesce(1))
