@@ -472,10 +472,12 @@ def query_fan_out(spark, d):
 
 
 def reranked(spark, d) -> DataFrame:
-    fused = fusion.fuse(both_rankings(spark, d))
+    fused = fusion.fuse(both_rankings(spark, d)).persist()  # a few rows a question, used twice
     asked = questions(spark, d).select("qid", F.array_distinct(T.tokens(F.col("query"))).alias("qtok"))
+    pool = fused.where(F.col("rank") <= POOL)
+    pool = F.broadcast(pool) if pool.count() <= lexical.BROADCAST_TERMS else pool  # so that texts need not be shuffled
     # texts join first, so only those of a pool are tokenised
-    pool = fused.where(F.col("rank") <= POOL).join(asked, "qid").join(docs(spark, d).select("chunk_id", "text"), "chunk_id")
+    pool = docs(spark, d).select("chunk_id", "text").join(pool, "chunk_id").join(asked, "qid")
     pool = pool.select("qid", "chunk_id", ranking.overlap_score(F.col("qtok"), T.tokens(F.col("text"))).alias("own"))
     return ranking.rerank(fused.join(pool, ["qid", "chunk_id"], "left"), F.col("own"), POOL).drop("own")
 
